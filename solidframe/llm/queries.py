@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate, hit_words
+from .mixing import mix_sources
+from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
 
@@ -17,15 +21,45 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, max_epochs=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        hit_words(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
+    "op4_near_dedup": op4_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_substring_dedup"] = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
@@ -44,3 +78,56 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 """
+
+ORACLES["op3_decontamination"] = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), phrase AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), place AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM phrase) WHERE len(w) >= n)
+), match AS (
+  SELECT place.doc_id, place.i, place.n, phrase.item_id FROM place JOIN phrase ON place.n = phrase.n AND place.g = phrase.g
+), hit AS (
+  SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM match) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM match) GROUP BY doc_id
+)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(named.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN named ON doc.doc_id = named.doc_id
+"""
+
+ORACLES["op4_near_dedup"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM doc WHERE len(w) >= 2)
+    UNION ALL SELECT doc_id, w[1] FROM doc WHERE len(w) = 1)
+), size AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS f FROM shingle GROUP BY doc_id
+), class AS (
+  SELECT f, min(doc_id) AS rep, any_value(n) AS n FROM size GROUP BY f
+), own AS (
+  SELECT shingle.doc_id, g, n FROM shingle JOIN class ON shingle.doc_id = class.rep
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM own a JOIN own b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT rep AS a, rep AS b FROM class UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), component AS (
+  SELECT a, min(b) AS c FROM reach GROUP BY a
+)
+SELECT doc.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, coalesce(component.c, doc.doc_id) AS component_id,
+       coalesce(component.c, doc.doc_id) = doc.doc_id AS kept
+FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id LEFT JOIN class ON size.f = class.f LEFT JOIN component ON class.rep = component.a
+"""
