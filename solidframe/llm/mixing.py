@@ -44,9 +44,10 @@ def targets(sizes: DataFrame, weights: Sequence[float], total: float, max_epochs
         F.coalesce(F.sum(max_epochs * F.col("source_size")).over(before), F.lit(0.0)).alias("_capped"),
         F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing)).alias("_weights"),
     )
+    # the first source that isn't clamped has the highest level of those that could be
     level = (F.col("_total") - F.col("_capped")) / F.col("_weights")
     wide = wide.withColumn("_level", F.when(level * F.col("weight") <= max_epochs * F.col("source_size"), level))
-    share = F.min("_level").over(every) * F.col("weight")
+    share = F.max("_level").over(every) * F.col("weight")
     return wide.select("source", "source_size", F.when(live, F.least(max_epochs * F.col("source_size"), F.coalesce(share, max_epochs * F.col("source_size")))).otherwise(0.0).alias("target"))
 
 

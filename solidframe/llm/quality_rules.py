@@ -86,7 +86,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 def _features() -> list[Column]:
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return [share("word_chars", "n_words"), F.log1p(share("n_symbols", "n_words")), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_upper", "word_chars")]
+    # of short texts the mean word length and the share of capitals vary much: they lean on 20 common words
+    length = (F.col("word_chars") + 100.0) / (F.col("n_words") + 20.0)
+    upper = F.col("n_upper") / (F.col("word_chars") + 100.0)
+    return [length, F.log1p(share("n_symbols", "n_words")), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), upper]
 
 
 def _pools(stats: DataFrame, min_group: int) -> DataFrame:

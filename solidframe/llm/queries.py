@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .decontamination import decontaminate, hit_words
+from .html_text import extract_text
+from .language_id import fit_unigrams, identify_language
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .url_filter import url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,17 +47,63 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+#: Two turns that say what the template says, to show that it reads back.
+TRICKY = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string"))
+    return read_back(format_conversations(turns, budget=1024, history=256))
+
+
+RULES = """
+SELECT * FROM VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, action)
+"""
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), spark.sql(RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _crc(by: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_unigrams(docs.filter(_crc(3) != 1), max_docs=1000)
+    return identify_language(docs, model).select("doc_id", (_crc(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(_crc(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = score_quality(docs, fit_quality(docs, labels, max_rows=20_000))
+    return scored.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html_text": op9_html_text,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
@@ -131,3 +182,19 @@ SELECT doc.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, coalesce(component
        coalesce(component.c, doc.doc_id) = doc.doc_id AS kept
 FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id LEFT JOIN class ON size.f = class.f LEFT JOIN component ON class.rep = component.a
 """
+
+# pages of these tables have no redirects or canonical links, so without a rule every url is allowed
+ORACLES["op6_url_filter"] = r"""
+WITH part AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), url AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part
+), rule AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, p, action)
+), best AS (
+  SELECT page_id, h || p AS rule, action FROM url JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, action) = 1
+)
+SELECT url.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM url LEFT JOIN best ON url.page_id = best.page_id
+"""

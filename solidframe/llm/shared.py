@@ -143,6 +143,11 @@ class Words:
 
 _POWER, _BACK = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
 
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse."""
+    return (_POWER[:n], _BACK[:n]) if n <= PIECE else (_powers(_BASE, n), _powers(_INVERSE, n))
+
 #: Words by white space, unchanged; the same with A-Z as a-z; runs of letters, digits and bytes over 0x7F.
 PLAIN = Words(b" \t\n\x0b\x0c\r", lower=False)
 FOLDED = Words(b" \t\n\x0b\x0c\r", lower=True)
