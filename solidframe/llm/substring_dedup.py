@@ -208,7 +208,7 @@ def mix2(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return one * np.uint64(0x9E3779B97F4A7C15) ^ two
 
 
-def _cut_out(window: int):
+def _cut_out(window: int, layout: str):
     struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", struct), ("kept_text", pa.string())])
 
@@ -254,20 +254,20 @@ def _cut_out(window: int):
                 out_spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)])
                 raw = block.data[block.offsets[a + k] : block.offsets[a + k + 1]].tobytes()
                 if not len(lo):
-                    out_text.append(b" ".join(raw.split()))
+                    out_text.append(raw if layout == "lines" else b" ".join(raw.split()))
                     continue
                 base = int(block.offsets[a + k])
                 keep_lo, keep_hi = np.concatenate([[0], hi]), np.concatenate([lo, [j - i]])
                 kept = [raw[int(starts[i + x]) - base : int(ends[i + y - 1]) - base] for x, y in zip(keep_lo, keep_hi, strict=True) if x < y]
-                out_text.append(b" ".join(b" ".join(x.split()) for x in kept))
+                out_text.append(b"\n".join(kept) if layout == "lines" else b" ".join(b" ".join(x.split()) for x in kept))
         return pa.table([table.column("doc_id").cast(pa.int64()), pa.array(out_words, pa.int64()), pa.array(out_removed, pa.int64()), pa.array(out_spans, struct), pa.array(out_text, pa.binary()).cast(pa.string())], schema=schema)
 
     return cut
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, period: int | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): its words, those removed, their spans, and what is kept,
-    joined by one space. See the module for the method and the cases."""
+def substring_dedup(docs: DataFrame, min_words: int = 20, period: int | None = None, layout: str = "words") -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): its words, those removed, their spans, and what is kept:
+    words joined by one space, or with ``layout`` "lines" the pieces between cuts as they stand, one a line. See the module for the method and the cases."""
     v = period or period_for(min_words)
     size = min_words - v + 1
     if size < 1:
@@ -282,4 +282,4 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, period: int | None = N
     anchors = by_block.applyInArrow(_ask_anchors(n_buckets, v, size), ask).groupBy("bucket").applyInArrow(_repeated_anchors, answer)
     windows = by_block.cogroup(anchors.groupBy("block")).applyInArrow(_ask_windows(n_buckets, v, size, min_words), ask)
     elsewhere = windows.groupBy("bucket").applyInArrow(_owned_elsewhere, answer)
-    return by_block.cogroup(elsewhere.groupBy("block")).applyInArrow(_cut_out(min_words), RESULT)
+    return by_block.cogroup(elsewhere.groupBy("block")).applyInArrow(_cut_out(min_words, layout), RESULT)
