@@ -1,17 +1,16 @@
-"""What the corpus operators share: tables in the shared folder, word hashes over Arrow buffers, sizes."""
+"""What the corpus operators share: word hashes over Arrow buffers, sizes, tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize, shared_dir
+
 #: Separators of words by white space, as a character class of Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,41 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE = 1 << 20
 
 _U = np.uint64
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where unset, one of this session's own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own_dirs:
-        _own_dirs[key] = "file://" + tempfile.mkdtemp(prefix="solidframe-")
-    return _own_dirs[key]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has ended; its folder goes with it
-        pass
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    It cuts the lineage, is computed once however often it is used, and survives the loss of
-    executors. The files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/solidframe-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_size(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows, and bytes of text; what decides how many blocks and buckets a job is cut into."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
