@@ -11,12 +11,15 @@ Jaccard similarity of at least ``threshold`` are linked; a component is what lin
    enough are estimated from the union of both sketches, and estimates far below the threshold go.
    What remains ties documents into provisional clusters.
 4. Longer lists are no source of pairs. A document with a third of its values in longer lists still meets
-   its partners there: it is gathered with the other such documents of a list, for its first values.
-5. Every cluster and gathered list is searched on full sets: exact Jaccard, breadth first, so that members
-   already reached are not compared again. Groups above ``group_rows`` are cut into parts, and each two
-   parts searched together: no partner is capped, and no task holds more than two parts.
+   its partners there: it is gathered with the other such documents of a list, for its first values, and
+   their sketches are compared breadth first, so that documents already reached are not compared again.
+   This ties further documents into the clusters.
+5. Every cluster is searched on full sets: exact Jaccard, breadth first.
 6. Links are joined into components.
 
+Gathered lists and clusters of more than ``list_part`` or ``cluster_part`` documents are cut into parts, and
+each two parts searched together: no partner is capped, and no task holds more than two parts.
+
 Cases: null, empty and blank texts have empty sets and are linked with nothing; texts with fewer words than
 a shingle are one shingle; a null doc_id can't be linked by others and has a null component unless its set
 is shared; rows that repeat a doc_id must be equal and get equal rows; empty tables give empty results;
@@ -41,6 +44,8 @@ SKETCH = 32
 LONG_VALUES = 10
 #: Values of a gathered document by which it is gathered; partners share none with probability 0.2^8.
 GATHER = 8
+#: Of 32 values in both sketches, how many tie gathered documents; at the threshold 28 are expected, with a deviation of 2.2.
+CLOSE = 18
 
 
 def _sets(words: np.ndarray, firsts: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -121,13 +126,15 @@ def _postings(sets: list[np.ndarray], members: np.ndarray) -> tuple[np.ndarray,
     return keys, first, np.append(first[1:], len(values)), owners
 
 
-def _links(percent: int):
+def _links(data: str, enough):
+    """Breadth first through a group: edges that reach all of each component of the sets that are close ``enough``,
+    told from the values they share and both sizes."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(table: pa.Table) -> pa.Table:
         reps, first = np.unique(table.column("rep").to_numpy(), return_index=True)
-        blobs = table.column("own").take(first).to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in blobs]
+        own = table.column(data).take(first).to_pylist()
+        sets = [np.frombuffer(x, np.uint64) if isinstance(x, bytes) else np.array(x, np.uint64) for x in own]
         sizes = np.array([len(x) for x in sets])
         unseen, left = np.ones(len(reps), bool), len(reps)
         known, indexed = None, 0
@@ -149,7 +156,7 @@ def _links(percent: int):
                 counts = hi[at] - lo[at]
                 places = np.arange(counts.sum()) + np.repeat(lo[at] - np.cumsum(counts) + counts, counts)
                 common = np.bincount(owners[places], minlength=len(reps))
-                near = np.flatnonzero(unseen & (common > 0) & (100 * common >= percent * (sizes[p] + sizes - common)))
+                near = np.flatnonzero(unseen & (common > 0) & enough(common, sizes[p], sizes))
                 if len(near):
                     unseen[near] = False
                     left -= len(near)
@@ -165,7 +172,15 @@ def _links(percent: int):
     return link
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_rows: int = 50, group_rows: int = 1024, broadcast_rows: int = 1 << 20) -> DataFrame:
+def _parts(members: DataFrame, most: int) -> DataFrame:
+    """(grp, rep) for each (key, rep): groups of up to ``most`` members are one task's work, of larger ones each two parts."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
+    parts = placed.select("key", "rep", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    return parts.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "rep")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_rows: int = 50, list_part: int = 4096, cluster_part: int = 1024, broadcast_rows: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
     Links join sets with 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id
@@ -192,21 +207,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_r
         .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
         .mapInArrow(_estimates(percent / 100), "a long, b long")
     )
-    clusters = connected_components(estimated).select(F.xxhash64(F.lit("cluster"), "component").alias("key"), F.col("node").alias("rep"))
-
     crowded = long_.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")).filter(F.col("c") * SKETCH > LONG_VALUES * F.col("m")).select("rep")
-    gathered = long_.filter(F.col("rank") < GATHER).join(crowded, "rep", "left_semi").select(F.xxhash64(F.lit("list"), "v").alias("key"), "rep")
-    members = clusters.unionByName(gathered)
-
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "parts")
-    placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
-    parts = placed.select("key", "rep", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    groups = materialize(parts.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "rep"))
+    gathered = long_.filter(F.col("rank") < GATHER).join(crowded, "rep", "left_semi").select(F.col("v").alias("key"), "rep")
+    close = lambda common, one, other: SKETCH * common >= CLOSE * np.minimum(one, other)
+    tied = _parts(gathered, list_part).join(sketches, "rep").groupBy("grp").applyInArrow(_links("sketch", close), "a long, b long")
 
+    clusters = connected_components(estimated.unionByName(tied)).select(F.xxhash64("component").alias("key"), F.col("node").alias("rep"))
+    groups = materialize(_parts(clusters, cluster_part))
     wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "rep long, own binary")
-    links = groups.join(sets, "rep").groupBy("grp").applyInArrow(_links(percent), "a long, b long")
+    linked = lambda common, one, other: 100 * common >= percent * (one + other - common)
+    links = groups.join(sets, "rep").groupBy("grp").applyInArrow(_links("own", linked), "a long, b long")
     found = connected_components(links)
 
     classes = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
