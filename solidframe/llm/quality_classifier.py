@@ -90,7 +90,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rat
     n_inner = 2**depth - 1
     share = float(y.mean()) if len(y) else 0.5
     empty = np.zeros((0, n_inner))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         bias = 0.0 if not len(y) else (20.0 if share else -20.0)
         return Trees(bias, depth, empty.astype(int), empty, np.zeros((0, n_inner + 1)))
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
