@@ -24,6 +24,6 @@ def parse_samples(texts: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("value"), "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
     row = texts.select(lines.alias("lines")).filter(F.size("lines") > 0).select(F.get("lines", F.lit(0)).alias("head"), F.slice("lines", 2, 1 << 20).alias("frames"))
     head = lambda k: F.regexp_extract("head", r"^\s*(.*?)\s+(?:\d+/)?(\d+)\s+(?:\[[^\]]*\]\s+)?([\d.]+)\s*:", k)
-    bare = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), r"^\S+\s+", ""), r" \([^(]*\)?$", ""), r"\+(0x[0-9a-fA-F]*|[0-9a-fA-F]*)$", "")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.rtrim(x), r"^\s*\S+\s+", ""), r" \([^(]*\)?$", ""), r"\+(0x[0-9a-fA-F]*|[0-9a-fA-F]*)$", "")
     stack = F.filter(F.transform("frames", bare), lambda x: x != "")
     return row.select(F.trim(head(1)).alias("comm"), head(2).try_cast("long").alias("tid"), head(3).try_cast("double").alias("time"), stack.alias("stack")).filter("time IS NOT NULL AND tid IS NOT NULL")
