@@ -136,7 +136,7 @@ METHODS = [
     ("04F71106", "LIZARD", "compression", False, False),
     ("21", "FLZMA2", "compression", True, True),
     ("04F71001", "LZHAM", "compression", False, False),
-    ("06F10701", "7zAES", "crypto", False, False),
+    ("06F10701", "7zAES", "crypto", True, True),
     ("06F00181", "AES256CBC", "crypto", False, False),
 ]
 

@@ -7,6 +7,7 @@ blocks are encoded in parallel, and only packed bytes and metadata meet again pe
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import crypto
 from ..sources.coders import ArchiveError, encode_block
 from ..sources.container import build_header, encoded_header, signature_header
+from ..sources.tables import materialize
 from .solid import assign_folders
 
 _BLOCK = pa.schema(
@@ -67,8 +70,22 @@ def _assemble(header_mode: str):
     return assemble
 
 
-def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "solid", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False) -> DataFrame:
-    """(archive, content): one archive per value of ``archive``, each up to the 2 GB that a binary value holds."""
+def _encrypted(blocks: DataFrame, password: str, cycles: int) -> DataFrame:
+    """Blocks with an encryption around their coders."""
+    salt = os.urandom(16)
+    key = blocks.sparkSession.createDataFrame([(bytearray(crypto.derive_key(password, cycles, salt)),)], "key binary")
+    head = crypto.properties(cycles, salt, bytes(16))[:-16].hex()
+    # written once: the vector is random, and a task that ran again would take another
+    once = materialize(blocks.withColumn("iv", F.unhex(F.substring(F.sha2(F.concat_ws(":", F.uuid(), F.col("archive"), F.col("folder").cast("string")), 256), 1, 32))))
+    sealed = once.crossJoin(F.broadcast(key))  # one row
+    text = F.concat("coders", F.lit(f";{crypto.AES}:{head}"), F.lower(F.hex("iv")))
+    sizes = F.concat("coder_sizes", F.array(F.octet_length("packed").cast("long")))
+    return sealed.select("archive", "folder", crypto.encrypt(F.col("packed"), F.col("key"), F.col("iv")).alias("packed"), text.alias("coders"), sizes.alias("coder_sizes"), "sizes", "crcs")
+
+
+def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "solid", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
+    """(archive, content): one archive per value of ``archive``, each up to the 2 GB that a binary value holds.
+    With ``password`` blocks are encrypted (headers are not): one random salt for the job, a random vector each block."""
     if codec not in CODECS:
         raise ArchiveError("UnsupportedCodec", codec)
     if header_mode not in ("auto", "plain", "encoded"):
@@ -86,6 +103,8 @@ def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, soli
     planned = assign_folders(named.select("archive", "entry_index", "has_stream", "size"), solid, max_files, max_bytes)
     data = named.filter("has_stream").select("archive", "entry_index", "content").join(planned.select("archive", "entry_index", "folder"), ["archive", "entry_index"])
     blocks = data.groupBy("archive", "folder").applyInArrow(_encode(codec, level, bcj), _BLOCK_DDL)
+    if password is not None:
+        blocks = _encrypted(blocks, password, cycles)
     files = named.select(
         "archive", "entry_index", "raw_name", (~F.col("has_stream")).alias("empty_stream"), (F.col("entry_type") == "File").alias("empty_file"), (F.col("entry_type") == "Anti").alias("anti"), F.col("mtime_ticks").cast("long").alias("mtime"), "attributes",
     )
@@ -118,7 +137,6 @@ def write_files(rows: DataFrame, folder: str, name: str = "archive", data: str =
     whole files only. ``folder`` must be mounted on every executor."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import tempfile
 
         for batch in batches:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.crypto import decrypted
 from .coders import ArchiveError, decode_folder
 from .container import SIGNATURE_SIZE, parse_archive
 
@@ -192,20 +193,29 @@ def _decode(failfast: bool):
     return decode
 
 
-def decoded_blocks(archives: DataFrame, blocks: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """(archive, block, data, error) of each block, decoded once; packed and block checksums are checked."""
+def decoded_blocks(archives: DataFrame, blocks: DataFrame, mode: str = "PERMISSIVE", password: str | None = None) -> DataFrame:
+    """(archive, block, data, error) of each block, decoded once; packed and block checksums are checked.
+    Encrypted blocks need ``password``; without it they give an error row."""
     packed = packed_view(archives, blocks)
     one = F.size("packed") == 1
     damaged = one & (F.get("packed", F.lit(0))["crc"] != F.crc32("bytes"))
     sound = packed.withColumn("damaged", F.coalesce(damaged, F.lit(False))).repartition("archive", "block")
     if mode == "FAILFAST":
         sound = sound.withColumn("damaged", F.when(F.col("damaged"), F.raise_error(F.lit("Crc: packed stream"))).otherwise(F.col("damaged")))
+    sealed = sound.filter(C.is_encrypted(F.col("coders")) & ~F.col("damaged"))
+    if password is None:
+        sound = sound.withColumn("damaged", F.col("damaged") | C.is_encrypted(F.col("coders")))
+    else:
+        sound = decrypted(sound, blocks, password)
     fields = ", ".join(f"{f.name} {'int' if f.name == 'block' else _ddl(f.type)}" for f in _DECODED)
     out = sound.filter("NOT damaged").drop("damaged").mapInArrow(_decode(mode == "FAILFAST"), fields)
     error = F.when(F.col("code").isNotNull(), F.struct("code", "detail")).when(F.col("crc") != F.crc32("data"), F.struct(F.lit("Crc").alias("code"), F.lit("block").alias("detail")))
     good = out.select("archive", "block", "data", error.alias("error"))
     bad = sound.filter("damaged").select("archive", "block", F.lit(None).cast("binary").alias("data"), F.struct(F.lit("Crc").alias("code"), F.lit("packed stream").alias("detail")).alias("error"))
-    return good.unionByName(bad)
+    if password is not None:
+        return good.unionByName(bad)
+    sealed = sealed.select("archive", "block", F.lit(None).cast("binary").alias("data"), F.struct(F.lit("PasswordRequired").alias("code"), F.lit("encrypted block").alias("detail")).alias("error"))
+    return good.unionByName(bad.join(sealed.select("archive", "block"), ["archive", "block"], "left_anti")).unionByName(sealed)
 
 
 def content_view(entries: DataFrame, decoded: DataFrame) -> DataFrame:
