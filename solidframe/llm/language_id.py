@@ -35,6 +35,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"  # how the vocabulary marks the start of a word
 #: Share of an unknown character; added to each count.
 FLOOR, SMOOTH = 1e-7, 0.05
+#: Ids of the sample that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -135,11 +137,11 @@ class Unigrams:
                 number = self._number(hashes(starts[:n] + end - length, starts[:n] + end))
                 at = np.flatnonzero(number >= 0) if length > 1 else np.arange(n)  # -1: the floor, of an unknown character
                 total[at] += sums[(end - length) % keep][at] * self.shares[number[at]]
-            low = np.flatnonzero(total[:n].max(axis=1, initial=0.0) < 1e-100)
-            if len(low):  # long words: keep the sums in range
-                top = total[low].max(axis=1)
-                sums[:, low] /= top[None, :, None]
-                scale[low] += np.log(top)
+            top = total[:n].max(axis=1, initial=0.0)
+            far = np.flatnonzero((top < 1e-100) | (top > 1e100))
+            if len(far):  # long words: keep the sums in range
+                sums[:, far] /= top[far][None, :, None]
+                scale[far] += np.log(top[far])
             done = np.arange(int(np.searchsorted(-lengths, -end, "left")), n)
             out[done] = np.log(np.maximum(total[done], 1e-300)) + scale[done, None]
         return out
@@ -164,12 +166,12 @@ def fit_unigrams(docs: DataFrame, max_docs: int = 1000, model: str = MODEL) -> U
     """Learns from ``docs`` (doc_id, text, lang), of each non-null language at most ``max_docs`` documents."""
     import sentencepiece
 
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    # about twice the bound by a threshold on the hash, then the bound itself
-    bar = (F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("_n")) * float(1 << 53)).cast("long")
-    some = known.join(sizes, "lang").filter((F.shiftrightunsigned("_h", 11) < bar) | (F.col("_n") <= 2 * max_docs))
-    some = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_r") <= max_docs)
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    # ids alone are ranked, each task sending the first of each language; then their texts are fetched
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    chosen = known.withColumn("_r", place).filter(F.col("_r") <= max_docs).select("doc_id").distinct()
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    some = docs.filter("lang IS NOT NULL AND text IS NOT NULL").join(chosen, "doc_id", "left_semi")
     words = some.select("lang", "text").mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = words.mapInArrow(_pieces(model), "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
 
