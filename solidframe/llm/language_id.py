@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, mix, powers, runs_of_texts
+from .shared import column_bytes, materialize, mix, powers, runs_of_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -37,6 +37,8 @@ _START = "▁"  # how the vocabulary marks the start of a word
 FLOOR, SMOOTH = 1e-7, 0.05
 #: Ids of the sample that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Ids of a language that are ranked, in samples.
+SPARE = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -166,8 +168,12 @@ def fit_unigrams(docs: DataFrame, max_docs: int = 1000, model: str = MODEL) -> U
     """Learns from ``docs`` (doc_id, text, lang), of each non-null language at most ``max_docs`` documents."""
     import sentencepiece
 
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    # ids alone are ranked, each task sending the first of each language; then their texts are fetched
+    known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    # ids alone are ranked, and of a frequent language only those below a hash that leaves about SPARE times the sample
+    sizes = materialize(known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    part = (F.col("_h").cast("double") / 2.0**64) + 0.5
+    known = known.join(sizes, "lang").filter(part * F.col("_n") <= SPARE * max_docs).select("doc_id", "lang", "_h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
     chosen = known.withColumn("_r", place).filter(F.col("_r") <= max_docs).select("doc_id").distinct()
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
