@@ -60,8 +60,9 @@ class Archives:
         pack.extract(materialize(chosen), folder)
 
     def updated(self, added: DataFrame | None = None, deleted: list[str] | None = None, **options) -> DataFrame:
-        """(archive, content) of the archives with entries added or replaced by name, and others deleted by pattern."""
-        return pack.pack_archives(materialize(update.update_content(self.content(), added, deleted)), **options)
+        """(archive, content) of the archives with entries added or replaced by name, and others deleted by pattern. Blocks
+        that stay whole are copied as they are; the others are packed with ``options``."""
+        return update.rewrite(self.archives, self.entries, self.blocks, self.decoded(), added, deleted, **options)
 
 
 def create(spark: SparkSession, folder: str, archive: str = "archive", pattern: str | None = None, **options) -> DataFrame:

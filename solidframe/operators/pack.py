@@ -21,10 +21,17 @@ from ..sources.container import build_header, encoded_header, signature_header
 from ..sources.tables import materialize
 from .solid import assign_folders
 
+#: A packed block; the columns after ``crcs`` are those of blocks that are copied as they are, null for new ones.
 _BLOCK = pa.schema(
-    [("archive", pa.string()), ("folder", pa.int64()), ("packed", pa.binary()), ("coders", pa.string()), ("coder_sizes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("crcs", pa.list_(pa.int64()))]
+    [
+        ("archive", pa.string()), ("folder", pa.int64()), ("packed", pa.binary()), ("coders", pa.string()), *((x, pa.list_(pa.int64())) for x in ("coder_sizes", "sizes", "crcs")),
+        *((x, pa.list_(pa.int64())) for x in ("inputs", "bind_inputs", "bind_outputs", "packed_indices", "packed_sizes", "packed_crcs")), ("crc", pa.int64()),
+    ]
+)
+_BLOCK_DDL = (
+    "archive string, folder bigint, packed binary, coders string, coder_sizes array<bigint>, sizes array<bigint>, crcs array<bigint>, inputs array<bigint>, bind_inputs array<bigint>, bind_outputs array<bigint>, "
+    "packed_indices array<bigint>, packed_sizes array<bigint>, packed_crcs array<bigint>, crc bigint"
 )
-_BLOCK_DDL = "archive string, folder bigint, packed binary, coders string, coder_sizes array<bigint>, sizes array<bigint>, crcs array<bigint>"
 CODECS = ("copy", "lzma", "lzma2", "deflate", "bzip2")
 
 
@@ -51,12 +58,21 @@ def _encode(codec: str, level: int, bcj: bool):
     return encode
 
 
+def _folder_of(row: dict) -> dict:
+    """What a header says about a packed block."""
+    coders = _coders_of(row["coders"])
+    for c, n in zip(coders, row["inputs"] or (), strict=False):
+        c["num_in"] = n
+    binds = None if row["bind_inputs"] is None else list(zip(row["bind_inputs"], row["bind_outputs"], strict=True))
+    return row | {"coders": coders, "binds": binds, "packed_sizes": row["packed_sizes"] or [len(row["packed"])]}
+
+
 def _assemble(header_mode: str):
     schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
 
     def assemble(key: tuple[pa.Scalar], files: pa.Table, blocks: pa.Table) -> pa.Table:
-        rows = files.sort_by("entry_index").to_pylist()
-        folders = [r | {"coders": _coders_of(r["coders"]), "packed_size": len(r["packed"])} for r in blocks.sort_by("folder").to_pylist()]
+        rows = [r for r in files.sort_by("entry_index").to_pylist() if r["entry_index"] is not None]
+        folders = [_folder_of(r) for r in blocks.sort_by("folder").to_pylist()]
         plain = build_header(folders, rows) if rows or folders else b""
         body = b"".join(f["packed"] for f in folders)
         if plain and (header_mode == "encoded" or header_mode == "auto" and len(rows) > 1):
@@ -70,6 +86,18 @@ def _assemble(header_mode: str):
     return assemble
 
 
+def assemble(files: DataFrame, blocks: DataFrame, header_mode: str = "auto") -> DataFrame:
+    """(archive, content) from entries (a null entry_index stands for an archive without any) and packed blocks in the
+    order of ``folder``, which is the order of their entries."""
+    return files.groupBy("archive").cogroup(blocks.groupBy("archive")).applyInArrow(_assemble(header_mode), "archive string, content binary")
+
+
+def encode_blocks(data: DataFrame, codec: str = "lzma2", level: int = 5, bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
+    """Packed blocks of ``data`` (archive, folder, entry_index, content), each encoded by one task."""
+    blocks = data.groupBy("archive", "folder").applyInArrow(_encode(codec, level, bcj), _BLOCK_DDL)
+    return blocks if password is None else _encrypted(blocks, password, cycles)
+
+
 def _encrypted(blocks: DataFrame, password: str, cycles: int) -> DataFrame:
     """Blocks with an encryption around their coders."""
     salt = os.urandom(16)
@@ -80,18 +108,22 @@ def _encrypted(blocks: DataFrame, password: str, cycles: int) -> DataFrame:
     sealed = once.crossJoin(F.broadcast(key))  # one row
     text = F.concat("coders", F.lit(f";{crypto.AES}:{head}"), F.lower(F.hex("iv")))
     sizes = F.concat("coder_sizes", F.array(F.octet_length("packed").cast("long")))
-    return sealed.select("archive", "folder", crypto.encrypt(F.col("packed"), F.col("key"), F.col("iv")).alias("packed"), text.alias("coders"), sizes.alias("coder_sizes"), "sizes", "crcs")
+    return sealed.select("archive", "folder", crypto.encrypt(F.col("packed"), F.col("key"), F.col("iv")).alias("packed"), text.alias("coders"), sizes.alias("coder_sizes"), *_BLOCK.names[5:])
 
 
-def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "solid", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
-    """(archive, content): one archive per value of ``archive``, each up to the 2 GB that a binary value holds.
-    With ``password`` blocks are encrypted (headers are not): one random salt for the job, a random vector each block."""
+def check_options(codec: str, header_mode: str, bcj: bool = False) -> None:
     if codec not in CODECS:
         raise ArchiveError("UnsupportedCodec", codec)
     if header_mode not in ("auto", "plain", "encoded"):
         raise ArchiveError("InvalidOptions", f"header mode {header_mode}")
     if bcj and codec != "lzma2":
         raise ArchiveError("InvalidOptions", "the x86 filter goes with LZMA2 only")
+
+
+def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "solid", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
+    """(archive, content): one archive per value of ``archive``, each up to the 2 GB that a binary value holds.
+    With ``password`` blocks are encrypted (headers are not): one random salt for the job, a random vector each block."""
+    check_options(codec, header_mode, bcj)
     has = entries.columns
     ticks = F.col("mtime_ticks").cast("decimal(20,0)") if "mtime_ticks" in has else F.lit(None).cast("decimal(20,0)")
     attributes = F.col("attributes").cast("long") if "attributes" in has else F.lit(None).cast("long")
@@ -102,13 +134,11 @@ def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, soli
     )
     planned = assign_folders(named.select("archive", "entry_index", "has_stream", "size"), solid, max_files, max_bytes)
     data = named.filter("has_stream").select("archive", "entry_index", "content").join(planned.select("archive", "entry_index", "folder"), ["archive", "entry_index"])
-    blocks = data.groupBy("archive", "folder").applyInArrow(_encode(codec, level, bcj), _BLOCK_DDL)
-    if password is not None:
-        blocks = _encrypted(blocks, password, cycles)
+    blocks = encode_blocks(data, codec, level, bcj, password, cycles)
     files = named.select(
         "archive", "entry_index", "raw_name", (~F.col("has_stream")).alias("empty_stream"), (F.col("entry_type") == "File").alias("empty_file"), (F.col("entry_type") == "Anti").alias("anti"), F.col("mtime_ticks").cast("long").alias("mtime"), "attributes",
     )
-    return files.groupBy("archive").cogroup(blocks.groupBy("archive")).applyInArrow(_assemble(header_mode), "archive string, content binary")
+    return assemble(files, blocks, header_mode)
 
 
 def volumes(archives: DataFrame, sizes: list[int]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Updating archives: what stays, what is replaced, and which blocks can be copied as they are."""
+"""Updating archives: what stays, what is replaced, and which blocks are copied as they are.
+
+``rewrite`` copies the packed bytes of every block that stays whole, whatever its coders (unknown methods and encrypted
+blocks too); a block that stays in part is decoded and packed again in its place, new entries follow in blocks of their own.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.archives import content_view, packed_view
+from ..sources.tables import materialize
+from . import pack
+from .solid import assign_folders
 
 ACTIONS = ("CopyRaw", "Decode", "Drop", "NoStream")
 
@@ -63,3 +71,70 @@ def raw_layout_errors(entries: DataFrame, plan: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("position", "entry_index"))), lambda x: x["entry_index"]).alias("told"), (F.max("position") - F.min("position") + 1).alias("reach"), F.count(F.lit(1)).alias("n")
     )
     return told.join(own, ["archive", "block"], "left").filter("source IS NULL OR source <> told OR reach <> n").select("archive", "block")
+
+
+_TIMES = ("ctime", "atime", "mtime")
+
+
+def _raw_blocks(archives: DataFrame, blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """Packed blocks of ``places`` (archive, block, folder) as they stand in their archives."""
+    told = F.slice("sizes", F.lit(1), (F.col("num_substreams") - 1).cast("int"))
+    last = F.col("unpack_size") - F.aggregate(told, F.lit(0).cast("long"), lambda n, x: n + x)
+    coders = F.array_join(F.transform("coders", lambda c: F.concat(c["method_id"], F.lit(":"), F.lower(F.hex(F.coalesce(c["properties"], F.lit(b"")))))), ";")
+    wanted = blocks.join(places, ["archive", "block"])
+    cut = packed_view(archives, wanted).select("archive", "block", F.col("bytes").alias("_packed"))
+    return wanted.join(cut, ["archive", "block"]).select(
+        "archive", "folder", F.col("_packed").alias("packed"), coders.alias("coders"), "coder_sizes", F.concat(told, F.array(last)).alias("sizes"), "crcs", F.col("coders.num_in").alias("inputs"),
+        F.col("bind_pairs.input").alias("bind_inputs"), F.col("bind_pairs.output").alias("bind_outputs"), "packed_indices", F.col("packed.size").alias("packed_sizes"), F.col("packed.crc").alias("packed_crcs"), "crc",
+    )
+
+
+def rewrite(
+    archives: DataFrame, entries: DataFrame, blocks: DataFrame, decoded: DataFrame, added: DataFrame | None = None, deleted: list[str] | None = None, codec: str = "lzma2", level: int = 5, solid: str = "solid",
+    max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19,
+) -> DataFrame:
+    """(archive, content) of the archives that ``entries`` and ``blocks`` (views) describe, with ``added`` entries (archive,
+    entry_index, path, entry_type, content) added or replaced by name, and those that match ``deleted`` gone.
+
+    Unchanged blocks are copied raw; an error in a block that must be decoded is raised before anything is written.
+    An archive that loses all entries stays, empty.
+    """
+    pack.check_options(codec, header_mode, bcj)
+    kept = block_actions(retained(entries, added, deleted)).filter("retained")
+    old = kept.select(
+        "archive", F.lit(0).alias("part"), "entry_index", F.coalesce("raw_name", F.encode("path", "UTF-16LE")).alias("raw_name"), F.regexp_replace("entry_type", "^Empty", "").alias("entry_type"), *(F.col(f"{x}_ticks").cast("decimal(20,0)").cast("long").alias(x) for x in _TIMES), "attributes",
+        F.col("block").isNotNull().alias("has_stream"), F.col("block").cast("long").alias("group"), "action",
+    )
+    every = old
+    if added is not None:
+        has = added.columns
+        size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+        stream = F.col("entry_type").isin("File", "Symlink") & (size > 0)
+        new = added.select(
+            "archive", F.col("entry_index").cast("long").alias("entry_index"), F.encode("path", "UTF-16LE").alias("raw_name"), "entry_type", stream.alias("has_stream"), size.alias("size"),
+            (F.col("mtime_ticks") if "mtime_ticks" in has else F.lit(None)).cast("decimal(20,0)").cast("long").alias("mtime"), (F.col("attributes") if "attributes" in has else F.lit(None)).cast("long").alias("attributes"),
+        )
+        new = assign_folders(new, solid, max_files, max_bytes).withColumnRenamed("folder", "group")
+        none = F.lit(None).cast("long")
+        every = old.unionByName(new.select("archive", F.lit(1).alias("part"), "entry_index", "raw_name", "entry_type", none.alias("ctime"), none.alias("atime"), "mtime", "attributes", "has_stream", "group", F.lit("Add").alias("action")))
+    whole, block = Window.partitionBy("archive").orderBy("part", "entry_index"), Window.partitionBy("archive", "part", "group")
+    placed = every.withColumn("place", (F.row_number().over(whole) - 1).cast("long"))
+    # a block stands where its first entry does
+    placed = materialize(placed.withColumn("folder", F.when(F.col("has_stream"), F.min(F.when(F.col("has_stream"), F.col("place"))).over(block))))
+
+    streams = placed.filter("has_stream")
+    wanted = streams.filter("action = 'Decode'").select("archive", F.col("entry_index").alias("_at"), "place", "folder")
+    names = entries.join(wanted.select("archive", F.col("_at").alias("entry_index")), ["archive", "entry_index"], "left_semi")
+    failed = F.raise_error(F.concat_ws(": ", F.col("error.code"), "archive", "path")).cast("binary")
+    again = content_view(names, decoded).select("archive", F.col("entry_index").alias("_at"), F.when(F.col("error").isNotNull(), failed).otherwise(F.col("content")).alias("content"))
+    data = again.join(wanted, ["archive", "_at"]).select("archive", "folder", F.col("place").alias("entry_index"), "content")
+    if added is not None:
+        fresh = streams.filter("action = 'Add'").select("archive", F.col("entry_index").alias("_at"), "place", "folder")
+        data = data.unionByName(added.select("archive", F.col("entry_index").cast("long").alias("_at"), "content").join(fresh, ["archive", "_at"]).select("archive", "folder", F.col("place").alias("entry_index"), "content"))
+    copied = _raw_blocks(archives, blocks, streams.filter("action = 'CopyRaw'").select("archive", F.col("group").cast("int").alias("block"), "folder").distinct())
+    packed = pack.encode_blocks(data, codec, level, bcj, password, cycles).unionByName(copied)
+    files = placed.select(
+        "archive", F.col("place").alias("entry_index"), "raw_name", (~F.col("has_stream")).alias("empty_stream"), (F.col("entry_type") == "File").alias("empty_file"), (F.col("entry_type") == "Anti").alias("anti"), *_TIMES, "attributes"
+    )
+    emptied = entries.select("archive").distinct().join(files.select("archive").distinct(), "archive", "left_anti")
+    return pack.assemble(files.unionByName(emptied, allowMissingColumns=True), packed, header_mode)

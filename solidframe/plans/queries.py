@@ -178,6 +178,16 @@ def update_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def update_raw_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same update with every block that stays whole copied as it is."""
+    built, cat = _catalog(spark, sf_dir, codec="lzma", level=1, solid="limit", max_files=3)
+    blocks = A.blocks_view(cat)
+    added = _documents(spark, sf_dir).filter("doc_id % 13 = 0").drop("doc_id").withColumn("content", F.concat(F.encode(F.lit("new "), "UTF-8"), "content"))
+    again, cat2 = _read(update.rewrite(built, A.entries_view(cat, blocks), blocks, A.decoded_blocks(built, blocks, "FAILFAST"), added, ["*5.txt"], level=1))
+    read = A.content_view(A.entries_view(cat2), A.decoded_blocks(again, A.blocks_view(cat2), "FAILFAST"))
+    return read.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
 def method_registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = A.blocks_view(_catalog(spark, sf_dir, codec="lzma2", level=1, bcj=True)[1])
     coders = blocks.select("archive", F.explode("coders.method_id").alias("method_id"))
@@ -282,7 +292,7 @@ QUERIES = {
     for f in (
         bytes_by_language, roundtrip_documents, roundtrip_pages_lzma2_solid, listing_sizes, listing_footer, archive_summary, entry_crcs, verify_blocks, content_in_chunks, entry_lookup_by_name,
         index_selection, wildcard_filter, safe_path_urls, wildcard_urls, substream_offsets, packed_first_only, solid_by_count, solid_by_bytes_preplanned, solid_by_bytes_streaming, volume_ranges,
-        update_actions, retain_and_append, update_roundtrip, method_registry_join, method_lookup, diff_full_outer, phase_diff, top_k, top_k_per_group, edges, thread_breakdown, timeline_buckets,
+        update_actions, retain_and_append, update_roundtrip, update_raw_copy, method_registry_join, method_lookup, diff_full_outer, phase_diff, top_k, top_k_per_group, edges, thread_breakdown, timeline_buckets,
         category_summary, flamegraph_titles, filetime_roundtrip, bench_median_range, size_literals, modes_and_types, varints,
     )
 }
@@ -342,6 +352,7 @@ ORACLES = {
     "retain_and_append": f"""{_ONCE}, m AS (SELECT archive, doc_id % 11 = 0 AS added, entry_index, path, size FROM named)
       SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY added, entry_index) - 1 AS entry_index, path, CASE WHEN added THEN 0 ELSE size END AS size FROM m""",
     "update_roundtrip": f"{_ONCE} SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'new ' || text ELSE text END AS text FROM named WHERE doc_id % 13 = 0 OR path NOT LIKE '%5.txt'",
+    "update_raw_copy": f"{_ONCE} SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'new ' || text ELSE text END AS text FROM named WHERE doc_id % 13 = 0 OR path NOT LIKE '%5.txt'",
     "method_registry_join": f"{_ONCE} SELECT u.name, u.kind, count(DISTINCT archive) AS n FROM named, (VALUES ('BCJ', 'filter'), ('LZMA2', 'compression')) AS u(name, kind) GROUP BY ALL",
     "diff_full_outer": f"""WITH {_TYPES}, b AS (SELECT * FROM share WHERE NOT late), a AS (SELECT * FROM share WHERE late)
       SELECT coalesce(b.name, a.name) AS name, coalesce(b.samples, 0) AS before_samples, coalesce(a.samples, 0) AS after_samples, round(coalesce(a.percent, 0) - coalesce(b.percent, 0), 6) AS diff_pct

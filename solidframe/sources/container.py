@@ -279,30 +279,38 @@ def _numbers(values: list[int | None], width: int) -> bytes:
 
 
 def _coder(coder: dict) -> bytes:
-    code, props = bytes.fromhex(coder["method_id"]), coder["properties"]
-    return bytes([len(code) | 0x20 * bool(props)]) + code + (encode_number(len(props)) + bytes(props) if props else b"")
+    code, props, n_in = bytes.fromhex(coder["method_id"]), coder["properties"], coder.get("num_in", 1)
+    inputs = encode_number(n_in) + encode_number(1) if n_in != 1 else b""
+    return bytes([len(code) | 0x10 * bool(inputs) | 0x20 * bool(props)]) + code + inputs + (encode_number(len(props)) + bytes(props) if props else b"")
 
 
-def _folder_bytes(coders: list[dict]) -> bytes:
-    """A chain: each coder's input is the next one's output."""
-    return encode_number(len(coders)) + b"".join(map(_coder, coders)) + b"".join(encode_number(k) + encode_number(k + 1) for k in range(len(coders) - 1))
+def _folder_bytes(coders: list[dict], binds: list[tuple[int, int]] | None = None, packed_indices: list[int] | None = None) -> bytes:
+    """Coders and how they are bound, as (input, output); without that a chain: each coder's input is the next one's output."""
+    binds = [(k, k + 1) for k in range(len(coders) - 1)] if binds is None else binds
+    out = encode_number(len(coders)) + b"".join(map(_coder, coders)) + b"".join(encode_number(i) + encode_number(o) for i, o in binds)
+    return out + (b"".join(map(encode_number, packed_indices)) if packed_indices and len(packed_indices) > 1 else b"")
 
 
-def _pack_info(pos: int, sizes: list[int]) -> bytes:
-    return bytes([PACK_INFO]) + encode_number(pos) + encode_number(len(sizes)) + bytes([SIZE]) + b"".join(map(encode_number, sizes)) + bytes([END])
+def _digests(crcs: list[int | None]) -> bytes:
+    known = [x is not None for x in crcs]
+    return (b"\x01" if all(known) else b"\x00" + _bitmap(known)) + b"".join(struct.pack("<I", x) for x in crcs if x is not None)
+
+
+def _pack_info(pos: int, sizes: list[int], crcs: list[int | None] = ()) -> bytes:
+    checks = bytes([CRC]) + _digests(crcs) if any(x is not None for x in crcs) else b""
+    return bytes([PACK_INFO]) + encode_number(pos) + encode_number(len(sizes)) + bytes([SIZE]) + b"".join(map(encode_number, sizes)) + checks + bytes([END])
 
 
 def build_header(folders: list[dict], files: list[dict]) -> bytes:
-    """A plain header. Folders: coders, coder_sizes, packed_size, crc, sizes, crcs; files: raw_name, empty_stream,
-    empty_file, anti, ctime, atime, mtime, attributes."""
+    """A plain header. Folders: coders, coder_sizes, packed_sizes, sizes, crcs, and where they have them crc, packed_crcs,
+    binds, packed_indices; files: raw_name, empty_stream, empty_file, anti, ctime, atime, mtime, attributes."""
     out = bytes([HEADER])
     if folders:
-        out += bytes([MAIN_STREAMS]) + _pack_info(0, [f["packed_size"] for f in folders])
-        out += bytes([UNPACK_INFO, FOLDER]) + encode_number(len(folders)) + b"\x00" + b"".join(_folder_bytes(f["coders"]) for f in folders)
+        out += bytes([MAIN_STREAMS]) + _pack_info(0, [x for f in folders for x in f["packed_sizes"]], [x for f in folders for x in f.get("packed_crcs") or [None] * len(f["packed_sizes"])])
+        out += bytes([UNPACK_INFO, FOLDER]) + encode_number(len(folders)) + b"\x00" + b"".join(_folder_bytes(f["coders"], f.get("binds"), f.get("packed_indices")) for f in folders)
         out += bytes([CODER_SIZES]) + b"".join(encode_number(x) for f in folders for x in f["coder_sizes"])
         if any(f.get("crc") is not None for f in folders):
-            known = [f.get("crc") is not None for f in folders]
-            out += bytes([CRC]) + (b"\x01" if all(known) else b"\x00" + _bitmap(known)) + b"".join(struct.pack("<I", f["crc"]) for f in folders if f.get("crc") is not None)
+            out += bytes([CRC]) + _digests([f.get("crc") for f in folders])
         out += bytes([END, SUBSTREAMS])
         if any(len(f["sizes"]) != 1 for f in folders):
             out += bytes([NUM_STREAMS]) + b"".join(encode_number(len(f["sizes"])) for f in folders)
@@ -310,8 +318,7 @@ def build_header(folders: list[dict], files: list[dict]) -> bytes:
             out += bytes([SIZE]) + b"".join(encode_number(x) for f in folders for x in f["sizes"][:-1])
         crcs = [c for f in folders if len(f["sizes"]) != 1 or f.get("crc") is None for c in f["crcs"]]
         if crcs:
-            known = [c is not None for c in crcs]
-            out += bytes([CRC]) + (b"\x01" if all(known) else b"\x00" + _bitmap(known)) + b"".join(struct.pack("<I", c) for c in crcs if c is not None)
+            out += bytes([CRC]) + _digests(crcs)
         out += bytes([END, END])
     if files:
         out += bytes([FILES]) + encode_number(len(files))

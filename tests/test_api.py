@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from solidframe import api
 from solidframe.functions import crypto
 from solidframe.operators import pack
+from solidframe.sources import archives as A
 from solidframe.sources.coders import ArchiveError
+from solidframe.sources.container import build_header, signature_header
 
 
 @pytest.fixture
@@ -36,6 +38,49 @@ def test_create_list_extract_update(spark, tree, tmp_path):
     assert api.Archives(spark.createDataFrame([("x", b"junk")], "archive string, content binary")).state() == api.FATAL
 
 
+ROWS = "archive string, entry_index long, path string, entry_type string, content binary"
+
+
+def _packed(a):
+    """Packed bytes of each block of one archive, in order."""
+    return [bytes(r.bytes) for r in A.packed_view(a.archives, a.blocks).orderBy("block").collect()]
+
+
+def test_update_copies_whole_blocks(spark):
+    rows = [("a", 0, "d", "Directory", b""), *(("a", k, f"f{k}", "File", bytes([65 + k]) * 300) for k in range(1, 7)), ("a", 7, "e", "File", b"")]
+    a = api.Archives(pack.pack_archives(spark.createDataFrame(rows, ROWS), codec="lzma", level=1, solid="limit", max_files=2).cache())
+    before = _packed(a)
+    added = spark.createDataFrame([("a", 0, "n", "File", b"new"), ("a", 1, "f5", "File", b"other"), ("a", 2, "z", "File", b"")], ROWS)
+    b = api.Archives(a.updated(added, ["f3"], codec="copy").cache())
+    assert [(r.path, r.entry_type, r.block) for r in b.list().collect()] == [
+        ("d", "Directory", None), ("f1", "File", 0), ("f2", "File", 0), ("f4", "File", 1), ("f6", "File", 2), ("e", "EmptyFile", None), ("n", "File", 3), ("f5", "File", 3), ("z", "EmptyFile", None),
+    ]
+    after = _packed(b)
+    assert after == [before[0], b"E" * 300, b"G" * 300, b"newother"] and b.state() == api.OK
+    assert {r.path: bytes(r.content) for r in b.content().collect()} == {"f1": b"B" * 300, "f2": b"C" * 300, "f4": b"E" * 300, "f6": b"G" * 300, "e": b"", "n": b"new", "f5": b"other", "z": b""}
+    gone = api.Archives(b.updated(None, ["*"]).cache())
+    assert gone.state() == api.OK and gone.list().count() == 0 and gone.summary.count() == 1
+    same = api.Archives(b.updated().cache())
+    assert _packed(same) == after and [r.path for r in same.list().collect()] == [r.path for r in b.list().collect()]
+
+
+def test_update_keeps_what_it_cannot_decode(spark):
+    one = lambda code, n_in=1: {"method_id": code, "num_in": n_in, "num_out": 1, "properties": b"p"}
+    folders = [  # four inputs and an unknown method, checks of packed streams and of the block
+        {"coders": [one("0303011B", 4), one("FE")], "binds": [(1, 1)], "packed_indices": [0, 2, 3, 4], "coder_sizes": [7, 3], "packed_sizes": [1, 2, 3, 4], "packed_crcs": [5, None, 6, 7], "crc": 9, "sizes": [3, 4], "crcs": [1, None]},
+        {"coders": [one("00") | {"properties": None}], "coder_sizes": [2], "packed_sizes": [2], "crc": None, "sizes": [2], "crcs": [None]},
+    ]
+    files = [{"raw_name": x.encode("utf-16-le"), "empty_stream": False} for x in "abc"]
+    header, body = build_header(folders, files), bytes(range(10)) + b"cc"
+    a = api.Archives(spark.createDataFrame([("x", signature_header(len(body), header) + body + header)], "archive string, content binary"))
+    b = api.Archives(a.updated(spark.createDataFrame([("x", 0, "d", "File", b"d")], ROWS), ["c"], codec="copy").cache())
+    assert _packed(b) == [bytes(range(10)), b"d"] and [r.path for r in b.list().collect()] == ["a", "b", "d"]
+    shape = ("coders", "bind_pairs", "packed_indices", "coder_sizes", "unpack_size", "crc", "packed", "num_substreams")
+    assert b.blocks.filter("block = 0").select(*shape).first() == a.blocks.filter("block = 0").select(*shape).first()
+    with pytest.raises(Exception, match="UnsupportedCodec"):
+        a.updated(None, ["a"]).collect()
+
+
 def test_symlinks(spark):
     rows = spark.createDataFrame([("a", 0, "l", "Symlink", b"to", 0o120777 << 16), ("a", 1, "e", "Symlink", b"", 0o120777 << 16)], "archive string, entry_index long, path string, entry_type string, content binary, attributes long")
     assert {r.path: r.target for r in api.Archives(pack.pack_archives(rows, codec="copy")).symlinks().collect()} == {"l": "to", "e": ""}
