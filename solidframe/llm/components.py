@@ -4,8 +4,8 @@ Alternating large-star and small-star steps: in a large-star step every node tie
 the smallest node it knows, in a small-star step itself and its smaller neighbours. The edges shrink to
 stars around the smallest node of each component in about log(n) rounds. Each round is one job of
 grouped minima and joins; its edges are written to the shared folder, so lineage stays short and a lost
-executor costs at most one round. The minima are pre-aggregated before they are shuffled, and a hub's
-edges are split by adaptive skew handling, for the side they meet has one row per node.
+executor costs at most one round. The minima are pre-aggregated before they are shuffled and written, so that
+the joins have plain exchanges on both sides and adaptive skew handling splits a hub's edges.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ def _state(edges: DataFrame) -> tuple:
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     # now a > b in every edge
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    large = materialize(large)
+    least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
     small = large.join(least, "a")
     own = least.select("a", F.col("m").alias("b"))
     others = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
