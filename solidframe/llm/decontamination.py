@@ -12,8 +12,9 @@ is left are the starts of exact matches. With ``slop`` > 0 a term may stand up t
 place (proximity match).
 
 Items go to the tasks in groups of at most ``group_bytes`` of text (what is broadcast is bounded by that
-parameter); with more items the index is searched once for each group and the spans of each document are
-put together. With the items given, terms that no item has are left out of the postings.
+parameter); with more items the rows are written once with a key of their own, the index is searched once for
+each group, and the spans of each row are put together by that key. With the items given, terms that no item
+has are left out of the postings.
 
 Cases: null and blank texts have no words and no hits; items without words match nothing; equal items and
 equal rows are each reported; an empty corpus gives an empty result, empty items give no hits; null item
@@ -24,13 +25,14 @@ a doc_id are one row each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, column_bytes, mask_to_spans, runs_of_texts
+from .shared import ALNUM, column_bytes, mask_to_spans, materialize, runs_of_texts
 
 POSTINGS = "doc_ids array<long>, firsts binary, terms binary, edges binary, positions binary"
 HITS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -224,18 +226,22 @@ def decontaminate(
 
     See the module for the method, the bound on what is broadcast, and the cases.
     """
-    found: list[DataFrame] = []
-    for group in item_groups(items, item_col, text_col, group_bytes):
+    groups = item_groups(items, item_col, text_col, group_bytes)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        phrases = Phrases(first, window)
+        return search_postings(build_postings(docs, phrases), phrases, slop)
+    # ids may repeat or be null; written, so that a row has one key in every search
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
+    every = None
+    for group in chain((first, second), groups):
         phrases = Phrases(group, window)
-        found.append(search_postings(build_postings(docs, phrases), phrases, slop))
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
+        found = search_postings(build_postings(keyed, phrases), phrases, slop)
+        every = found if every is None else every.unionByName(found)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    whole = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return whole.withColumn("spans", joined_spans(F.col("spans")))
+    whole = every.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("_row", "doc_id").join(whole, "_row").select("doc_id", "n_words", joined_spans(F.col("spans")).alias("spans"), "items")
 
 
 def joined_spans(spans):

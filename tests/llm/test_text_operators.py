@@ -99,6 +99,13 @@ def test_decontamination(spark, docs_of, texts, window, group):
     assert {r[0]: (r[1], r[2], list(r[3])) for r in out} == hits(rows, ITEMS, window)
 
 
+def test_decontamination_keeps_rows_of_repeated_ids_with_many_items(spark, docs_of):
+    items = spark.createDataFrame([(k, f"i{k} j{k} k{k}") for k in range(8)], "item_id long, text string")
+    some = docs_of([(1, "x i1 j1 k1 y i5 j5 k5"), (1, "clean words"), (1, "clean words"), (None, "i2 j2 k2"), (None, "clean"), (None, None), (4, "i7 j7 k7")])
+    rows = lambda group: sorted(str((r.doc_id, r.n_words, r.spans, r["items"])) for r in decontaminate(some, items, 3, group_bytes=group).collect())
+    assert len(rows(20)) == 7 and rows(20) == rows(1 << 20)
+
+
 def test_decontamination_cases(spark, docs_of):
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     some = docs_of([(1, "a b x d e"), (2, "a x b c d e"), (3, "e d c b a"), (1, "a b c d e")])
