@@ -10,7 +10,8 @@ their class and id (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) are left out first.
 
 Pages are independent rows: no shuffle. The parser is tolerant: unclosed and misnested elements, missing
-bodies, and pages that end in a tag.
+bodies, and pages that end in a tag. A head without an end tag ends at the body or at the first thing that
+can't stand in it; the end tag of an element that is left out by its tag also closes blocks open inside it.
 
 Cases: null, empty and blank html give an empty text; markup in comments, scripts and styles is no text;
 equal rows give equal rows; an empty table gives an empty result; further columns are not read.
@@ -30,8 +31,10 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: What may stand in a head; anything else ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 CLOSES_P = BLOCKS - frozenset("body caption html legend option optgroup tbody td tfoot th thead tr".split())
 #: An opening tag that ends an open element, and where the search for it stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -68,16 +71,23 @@ class Page:
             m = _TOKEN.search(source, at)
             text = source[at : m.start() if m else len(source)]
             if text:
+                if text.strip():
+                    self._end_head(stack)
                 self.events.append((stack[-1], text))
             if not m:
                 break
             at = m.end()
             if m[0][:9] == "<![CDATA[":
+                self._end_head(stack)
                 self.events.append((stack[-1], entities.escape(m[0][9:].removesuffix("]]>"))))
                 continue
             name, ends, attrs = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
             if not name:
                 continue
+            if name == "body" and not ends and "template" not in (open_tags := [self.tags[k] for k in stack]) and "head" in open_tags:
+                del stack[open_tags.index("head") :]
+            elif name in ("html", "body") if ends else name not in HEAD_TAGS:
+                self._end_head(stack)
             if name in ("html", "body"):
                 if not ends and name == "body":
                     self.attrs[0] = attrs
@@ -89,7 +99,7 @@ class Page:
                     if self.tags[stack[k]] == name:
                         del stack[k:]
                         break
-                    if name not in BLOCKS and self.tags[stack[k]] in BLOCKS:
+                    if name not in BLOCKS and name not in DROP_TAGS and self.tags[stack[k]] in BLOCKS:
                         break  # an inline end tag closes nothing beyond its block
             else:
                 if name == "br":
@@ -108,6 +118,10 @@ class Page:
                 stack.append(len(self.tags) - 1)
                 raw = name if name in RAW else None
 
+    def _end_head(self, stack: list[int]) -> None:
+        if self.tags[stack[-1]] == "head":
+            stack.pop()
+
     def _close(self, stack: list[int], names: set[str], until: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if self.tags[stack[k]] in names:

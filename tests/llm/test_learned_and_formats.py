@@ -113,6 +113,28 @@ def test_page_text(tag):
     assert main_text(two).count("\n") == 1
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>T</title><body>%s",
+        "<html><head><title>T</title><meta charset=utf-8>\n<div>%s</div></html>",
+        "<head><noscript><p>no script</noscript><script>x</script><body>%s",
+        "<head><bgsound src=x>%s",
+        "<head><title>T</title></body>%s",
+        "<body><head><meta name=x>%s",
+        "<body><div><select><option>a<option>b</select>%s</div>",
+        "<body><div><select><optgroup label=x><option>a</select>%s</div>",
+        "<body><div><noscript><p>no script</noscript>%s</div>",
+        "<body><div><noscript><table><tr><td>no script</noscript>%s</div>",
+        "<body><div><datalist><option>a<option>b</datalist>%s</div>",
+        "<body><div><object data=x><param name=y><p>none</object>%s</div>",
+    ],
+)
+def test_page_text_with_omitted_tags(page):
+    assert main_text(page % "<p>First line of the text</p><p>Second line of the text</p>") == "First line of the text\nSecond line of the text"
+    assert main_text(page % "Plain text") == "Plain text"
+
+
 def test_page_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", " \n"), (4, "u", "plain text"), (5, "u", "<p>one<p>two <im"), (6, "u", "<!-- x --><body><script>a</script></body>"), (7, "u", "<p>a < b &lt;i&gt; &nbsp; c"), (8, "u", "<div>" * 3000 + "deep"), (None, "u", "<p>x"), (4, "u", "plain text")]
     out = extract_text(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")).collect()
