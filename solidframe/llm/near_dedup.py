@@ -11,8 +11,8 @@ Jaccard similarity of at least ``threshold`` are linked; a component is what lin
    enough are estimated from the union of both sketches, and estimates far below the threshold go.
    What remains ties documents into provisional clusters.
 4. Longer lists are no source of pairs. A document with a third of its values in longer lists still meets
-   its partners there: it is gathered with the other such documents of a list, for its first values, and
-   their sketches are compared breadth first, so that documents already reached are not compared again.
+   its partners there: it is gathered with the other such documents of a list, for its first values in longer
+   lists, and their sketches are compared breadth first, so that documents already reached are not compared again.
    This ties further documents into the clusters.
 5. Every cluster is searched on full sets: exact Jaccard, breadth first.
 6. Links are joined into components.
@@ -40,12 +40,12 @@ from .shared import FOLDED, column_bytes, materialize, mix, runs_of_texts, windo
 
 SKETCH = 32
 #: Values in longer lists that a document may have before it is gathered by list: with fewer, two documents
-#: at the threshold share a short list but for a probability of 1e-9.
+#: at the threshold share enough values of short lists but for a probability of 8e-10 (at most 4 of 22, for 0.8).
 LONG_VALUES = 10
-#: Values of a gathered document by which it is gathered; partners share none with probability 0.2^8.
+#: Values of 32 in short lists that two documents must share to be estimated.
+OVERLAP = 5
+#: The first values in longer lists by which a document is gathered; partners share none with probability 0.2^8.
 GATHER = 8
-#: Of 32 values in both sketches, how many tie gathered documents; at the threshold 28 are expected, with a deviation of 2.2.
-CLOSE = 18
 
 
 def _sets(words: np.ndarray, firsts: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -117,6 +117,24 @@ def _estimates(threshold: float):
     return estimate
 
 
+def _close(percent: int):
+    """Whether sketches do not speak against a link, by five standard deviations; those of whole sets tell exactly.
+
+    Of two sets at the threshold the smaller may lie in the larger; then a share of ``percent`` of the kept
+    values is expected in both (more for sets of equal size).
+    """
+    share = percent / 100
+
+    def close(common: np.ndarray, one: int, other: np.ndarray) -> np.ndarray:
+        least = np.minimum(one, other)
+        whole = np.maximum(one, other) < SKETCH
+        exact = 100 * common >= percent * (one + other - common)
+        likely = common >= np.floor(share * least - 5 * (share * (1 - share) * least) ** 0.5)
+        return np.where(whole, exact, likely & (100 * least >= percent * SKETCH))
+
+    return close
+
+
 def _postings(sets: list[np.ndarray], members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(sets[m]) for m in members])
     values = np.concatenate([sets[m] for m in members])
@@ -200,17 +218,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_r
     left = short.select("v", F.col("rep").alias("a"), F.col("m").alias("ma"))
     right = short.select("v", F.col("rep").alias("b"), F.col("m").alias("mb"))
     overlaps = left.join(right, "v").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least("ma", "mb")).alias("m"))
-    pairs = overlaps.filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("m") * 6 / SKETCH))).select("a", "b")
+    pairs = overlaps.filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("m") * OVERLAP / SKETCH))).select("a", "b")
     sketches = known.select("rep", "sketch")
     estimated = (
         pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a")
         .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
         .mapInArrow(_estimates(percent / 100), "a long, b long")
     )
-    crowded = long_.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")).filter(F.col("c") * SKETCH > LONG_VALUES * F.col("m")).select("rep")
-    gathered = long_.filter(F.col("rank") < GATHER).join(crowded, "rep", "left_semi").select(F.col("v").alias("key"), "rep")
-    close = lambda common, one, other: SKETCH * common >= CLOSE * np.minimum(one, other)
-    tied = _parts(gathered, list_part).join(sketches, "rep").groupBy("grp").applyInArrow(_links("sketch", close), "a long, b long")
+    longs = long_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("values"), F.first("m").alias("m"))
+    crowded = longs.filter(F.size("values") * SKETCH > LONG_VALUES * F.col("m"))
+    gathered = crowded.select(F.explode(F.slice("values", 1, GATHER)["v"]).alias("key"), "rep")
+    tied = _parts(gathered, list_part).join(sketches, "rep").groupBy("grp").applyInArrow(_links("sketch", _close(percent)), "a long, b long")
 
     clusters = connected_components(estimated.unionByName(tied)).select(F.xxhash64("component").alias("key"), F.col("node").alias("rep"))
     groups = materialize(_parts(clusters, cluster_part))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from solidframe.llm.components import connected_components
 from solidframe.llm.decontamination import build_postings, decontaminate, hit_words, joined_spans
-from solidframe.llm.near_dedup import near_duplicates
+from solidframe.llm.near_dedup import _each_set, near_duplicates
 from solidframe.llm.shared import ALNUM, FOLDED, PLAIN, column_bytes, window_hash
 from solidframe.llm.substring_dedup import COVERS, period_for, substring_dedup
 
@@ -99,6 +99,22 @@ def test_decontamination(spark, docs_of, texts, window, group):
     assert {r[0]: (r[1], r[2], list(r[3])) for r in out} == hits(rows, ITEMS, window)
 
 
+@pytest.mark.parametrize("case", ["contained", "late"])
+def test_near_duplicates_of_crowded_documents_at_the_threshold(spark, docs_of, case):
+    import pyarrow as pa
+
+    words = [f"v{k}" for k in range(160)]
+    batch = pa.record_batch([pa.array(range(160)), pa.array(words)], ["doc_id", "text"])
+    words = [w for _, w in sorted((int(x[0]), w) for _, sets in _each_set([batch], 1) for x, w in zip(sets, words, strict=True))]
+    if case == "contained":  # 100 of 125 words, 16 of the 32 kept
+        more = set(words[1:32:2] + words[32:41])
+        one, other = words[:125], [w for w in words[:125] if w not in more]
+    else:  # 64 of 80 words, none of the first 8 kept ones
+        one, other = words[0:16:2] + words[16:80], words[1:16:2] + words[16:80]
+    out = near_duplicates(docs_of([(1, " ".join(one)), (2, " ".join(other))]), shingle=1, list_rows=1).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (2, 1, False)]
+
+
 def test_decontamination_keeps_rows_of_repeated_ids_with_many_items(spark, docs_of):
     items = spark.createDataFrame([(k, f"i{k} j{k} k{k}") for k in range(8)], "item_id long, text string")
     some = docs_of([(1, "x i1 j1 k1 y i5 j5 k5"), (1, "clean words"), (1, "clean words"), (None, "i2 j2 k2"), (None, "clean"), (None, None), (4, "i7 j7 k7")])
