@@ -2,16 +2,19 @@
 
 For every node of a page the characters per tag are computed and adjusted for links (composite text density,
 Sun, Song and Liao 2011): a node whose characters stand mostly in links, or whose tags are mostly links,
-loses density. The densities of a node's children are summed; the node with the largest sum is the main
-content, and the least density on its path to the body is the threshold: below the body, every other node
-that reaches it gives the largest-sum node of its own subtree. If the content lies in an article or main
-element, that element is taken whole. Elements that are no content by their tag, role or the words of
-their class and id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) are left out first.
+loses density. The densities of a node's block children are summed (its own counts where it has none); the
+block with the largest sum is the main content, and the least density on its path to the body is the threshold:
+below the body, every other node that reaches it gives the largest-sum node of its own subtree. Of equal sums an
+article or main element goes first, then the outer node. What lies between two such nodes in their common
+ancestor belongs to them, and so do headings right before them. If the body has the largest sum, all in it is taken but menus: elements below the
+threshold with most characters in links. Elements that are no content by their tag, role
+or the words of their class and id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments) are left out first and count in no density.
 
 Pages are independent rows: no shuffle. The parser is tolerant: unclosed and misnested elements, missing
 bodies, and pages that end in a tag. A head without an end tag ends at the body or at the first thing that
 can't stand in it; the end tag of an element that is left out by its tag also closes blocks open inside it.
+Open elements are found by name, so a page takes time in proportion to its length.
 
 Cases: null, empty and blank html give an empty text; markup in comments, scripts and styles is no text;
 equal rows give equal rows; an empty table gives an empty result; further columns are not read.
@@ -46,6 +49,7 @@ DROP_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register comment comments commentlist disqus respond replies share sharing social related recommended pagination pager widget toolbar search".split()
 )
 KEEP_TAGS = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -53,13 +57,49 @@ _WORDS = re.compile(r"[^A-Za-z0-9]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 
+class _Open:
+    """The open elements of a page under parsing, found by name."""
+
+    def __init__(self):
+        self.stack, self.names = [0], ["body"]
+        self.places: dict[str, list[int]] = {"body": [0]}
+        self.blocks = [0]
+
+    def push(self, element: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+        self.names.append(name)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at ``place`` and all in it."""
+        while len(self.stack) > place:
+            self.stack.pop()
+            name = self.names.pop()
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element with one of the names; -1 without any."""
+        return max((own[-1] for n in names if (own := self.places.get(n))), default=-1)
+
+    def close(self, names: set[str], until: set[str]) -> None:
+        """Closes the innermost of ``names``, unless one of ``until`` lies within it."""
+        place = self.last(*names)
+        if place > 0 and place > self.last(*until):
+            self.cut(place)
+
+
 class Page:
     """Elements of a page in order, each with its parent, and the texts and block ends between them."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.attrs = ["body"], [-1], [""]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or None where a block begins or ends
-        stack = [0]
+        now = _Open()
+        stack = now.stack
         at, raw = 0, None
         while at <= len(source):
             if raw is not None:  # what a script or style holds ends at its own end tag only
@@ -67,27 +107,27 @@ class Page:
                 if raw in ("textarea", "xmp"):
                     self.events.append((stack[-1], source[at : end.start() if end else len(source)]))
                 at, raw = (end.start() if end else len(source)), None
-                stack.pop()
+                now.cut(len(stack) - 1)
             m = _TOKEN.search(source, at)
             text = source[at : m.start() if m else len(source)]
             if text:
                 if text.strip():
-                    self._end_head(stack)
+                    self._end_head(now)
                 self.events.append((stack[-1], text))
             if not m:
                 break
             at = m.end()
             if m[0][:9] == "<![CDATA[":
-                self._end_head(stack)
+                self._end_head(now)
                 self.events.append((stack[-1], entities.escape(m[0][9:].removesuffix("]]>"))))
                 continue
             name, ends, attrs = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
             if not name:
                 continue
-            if name == "body" and not ends and "template" not in (open_tags := [self.tags[k] for k in stack]) and "head" in open_tags:
-                del stack[open_tags.index("head") :]
+            if name == "body" and not ends and now.last("template") < 0 and now.last("head") > 0:
+                now.cut(now.places["head"][0])
             elif name in ("html", "body") if ends else name not in HEAD_TAGS:
-                self._end_head(stack)
+                self._end_head(now)
             if name in ("html", "body"):
                 if not ends and name == "body":
                     self.attrs[0] = attrs
@@ -95,40 +135,30 @@ class Page:
             elif ends:
                 if name in BLOCKS:
                     self.events.append((stack[-1], None))
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if name not in BLOCKS and name not in DROP_TAGS and self.tags[stack[k]] in BLOCKS:
-                        break  # an inline end tag closes nothing beyond its block
+                place = now.last(name)
+                # an inline end tag closes nothing beyond its block
+                if place > 0 and (name in BLOCKS or name in DROP_TAGS or place > now.blocks[-1]):
+                    now.cut(place)
             else:
                 if name == "br":
                     self.events.append((stack[-1], " "))
                 if name in BLOCKS:
                     self.events.append((stack[-1], None))
                 if name in CLOSES_P:
-                    self._close(stack, {"p"}, {"td", "th", "table", "button", "article", "section", "div", "li", "blockquote", "aside", "main"} if name != "p" else {"td", "th", "table", "button"})
+                    now.close({"p"}, {"td", "th", "table", "button", "article", "section", "div", "li", "blockquote", "aside", "main"} if name != "p" else {"td", "th", "table", "button"})
                 if name in ENDS:
-                    self._close(stack, *ENDS[name])
+                    now.close(*ENDS[name])
                 self.tags.append(name)
                 self.parents.append(stack[-1])
                 self.attrs.append(attrs)
                 if name in VOID or attrs.endswith("/") and name in ("svg", "path", "use"):
                     continue
-                stack.append(len(self.tags) - 1)
+                now.push(len(self.tags) - 1, name)
                 raw = name if name in RAW else None
 
-    def _end_head(self, stack: list[int]) -> None:
-        if self.tags[stack[-1]] == "head":
-            stack.pop()
-
-    def _close(self, stack: list[int], names: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] in names:
-                del stack[k:]
-                return
-            if self.tags[stack[k]] in until:
-                return
+    def _end_head(self, now: _Open) -> None:
+        if self.tags[now.stack[-1]] == "head":
+            now.cut(len(now.stack) - 1)
 
     def dropped(self) -> list[bool]:
         """Which elements are no content, or lie in one that isn't."""
@@ -168,70 +198,119 @@ def _density(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> flo
     return plain * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / max(math.log(base), 1e-3)
 
 
+class Densities:
+    """Composite text density of every element of a page that isn't left out, and the sums over children."""
+
+    def __init__(self, page: Page, gone: list[bool], texts: list[tuple[int, str | None]]):
+        n = len(page.tags)
+        self.chars, self.links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        links = self.links
+        for k, x in texts:
+            if x and not gone[k]:
+                self.chars[k] += len(x.strip())
+        in_link = [False] * n
+        for k in range(1, n):
+            in_link[k] = in_link[page.parents[k]] or page.tags[k] == "a"
+            links[k] = self.chars[k] if in_link[k] else 0
+        self.children: list[list[int]] = [[] for _ in range(n)]
+        for k in range(n - 1, 0, -1):
+            if not gone[k]:
+                p = page.parents[k]
+                self.children[p].append(k)
+                self.chars[p] += self.chars[k]
+                links[p] += links[k]
+                tags[p] += tags[k] + 1
+                link_tags[p] += link_tags[k] + (page.tags[k] == "a")
+        for own in self.children:
+            own.reverse()
+        self.density = [_density(self.chars[k], tags[k], links[k], link_tags[k] + (page.tags[k] == "a"), self.chars[0], links[0]) for k in range(n)]
+        self.block = block = [page.tags[k] in BLOCKS for k in range(n)]
+        self.sums = [sum(self.density[c] for c in self.children[k] if block[c]) or self.density[k] for k in range(n)]
+        rank = [(self.sums[k], page.tags[k] in ("article", "main"), -k) for k in range(n)]
+        self.best = list(range(n))  # of each subtree, the element with the largest sum
+        for k in range(n - 1, 0, -1):
+            p = page.parents[k]
+            if not gone[k] and block[self.best[k]] and rank[self.best[k]] > rank[self.best[p]]:
+                self.best[p] = self.best[k]
+
+        path = [self.best[0]]
+        while path[-1]:
+            path.append(page.parents[path[-1]])
+        self.threshold = min(self.density[k] for k in path)
+
+    def menu(self, k: int) -> bool:
+        """Whether a block below the threshold has most of its characters in links."""
+        return self.block[k] and 2 * self.links[k] > self.chars[k] and self.density[k] < self.threshold
+
+    def content(self) -> set[int]:
+        """The largest-sum element, and those of other subtrees that reach the least density on its path to the body;
+        if the body itself has the largest sum, what stands in it but menus."""
+        if not self.best[0]:
+            return {k for k in self.children[0] if self.chars[k] and not self.menu(k)}
+        out, wait = {self.best[0]}, list(self.children[0])
+        while wait:
+            k = wait.pop()
+            if self.chars[k] and self.density[k] >= self.threshold:
+                out.add(self.best[k])
+            if k != self.best[0]:
+                wait.extend(self.children[k])
+        return out
+
+
+def _region(page: Page, found: Densities, content: set[int]) -> tuple[set[int], int]:
+    """``content`` with what lies between its elements in their common ancestor and headings right before; the ancestor."""
+    n = len(page.tags)
+    below = [0] * n  # elements of the content in each subtree
+    for k in range(n - 1, -1, -1):
+        below[k] += k in content
+        if k:
+            below[page.parents[k]] += below[k]
+    common = 0
+    while common not in content:
+        inner = [c for c in found.children[common] if below[c]]
+        if len(inner) != 1:
+            break
+        common = inner[0]
+    out = set(content)
+    first = common
+    if common not in content:
+        inner = [c for c in found.children[common] if below[c]]
+        out.update(c for c in found.children[common] if inner and inner[0] <= c <= inner[-1] and not found.menu(c))
+        first = inner[0] if inner else 0
+    while first > 0:
+        own = [c for c in found.children[page.parents[first]] if c < first and found.chars[c]]
+        while own and page.tags[own[-1]] in HEADINGS:
+            out.add(own.pop())
+        if own:
+            break
+        first = page.parents[first]
+    return out, common
+
+
 def main_text(source: str | None) -> str:
     """Text of the article of a page: its blocks, one a line."""
     if not source or not source.strip():
         return ""
     page = Page(source)
-    gone, n = page.dropped(), len(page.tags)
+    gone = page.dropped()
     texts = [(k, entities.unescape(x) if x and "&" in x else x) for k, x in page.events]
-    chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for k, x in texts:
-        if x and not gone[k]:
-            chars[k] += len(x.strip())
-    in_link = [False] * n
-    for k in range(1, n):
-        in_link[k] = in_link[page.parents[k]] or page.tags[k] == "a"
-        links[k] = chars[k] if in_link[k] else 0
-    children: list[list[int]] = [[] for _ in range(n)]
-    for k in range(n - 1, 0, -1):
-        if not gone[k]:
-            p = page.parents[k]
-            children[p].append(k)
-            chars[p] += chars[k]
-            links[p] += links[k]
-            tags[p] += tags[k] + 1
-            link_tags[p] += link_tags[k] + (page.tags[k] == "a")
-    density = [_density(chars[k], tags[k], links[k], link_tags[k] + (page.tags[k] == "a"), chars[0], links[0]) for k in range(n)]
-    sums = [sum(density[c] for c in children[k]) or density[k] for k in range(n)]
-    best = list(range(n))  # of each subtree, the element with the largest sum
-    for k in range(n - 1, 0, -1):
-        p = page.parents[k]
-        if not gone[k] and (sums[best[k]], -best[k]) > (sums[best[p]], -best[p]):
-            best[p] = best[k]
-    path, k = [], best[0]
-    while k >= 0:
-        path.append(k)
-        k = page.parents[k]
-    threshold = min(density[k] for k in path)
-    content = {best[0]}
-    wait = list(children[0])
-    while wait:
-        k = wait.pop()
-        if chars[k] and density[k] >= threshold:
-            content.add(best[k])
-        wait.extend(children[k])
-    for k in list(content):  # an article is one thing
-        whole, j = k, k
-        while j >= 0:
-            if page.tags[j] in ("article", "main"):
-                whole = j
-            j = page.parents[j]
-        content.add(whole)
-    articles = [k for k in content if page.tags[k] in ("article", "main")]
-    if articles:
-        content = set(articles)
-    kept = [False] * n
-    for k in range(n):
+    found = Densities(page, gone, texts)
+    content, common = _region(page, found, found.content())
+    kept = [False] * len(page.tags)
+    for k in range(len(kept)):
         kept[k] = not gone[k] and (k in content or k > 0 and kept[page.parents[k]])
+    inside = [i for i, (k, x) in enumerate(texts) if x and kept[k]]
+    lo, hi = (inside[0], inside[-1]) if inside else (0, -1)
+    if not found.best[0]:  # all text of the body itself
+        lo, hi = -1, len(texts)
     blocks, now = [], []
-    for k, x in [*texts, (0, None)]:
+    for i, (k, x) in enumerate([*texts, (0, None)]):
         if x is None:
             line = " ".join("".join(now).split())
             if line:
                 blocks.append(line)
             now = []
-        elif kept[k]:
+        elif kept[k] or k == common and lo < i < hi:
             now.append(x)
     return "\n".join(blocks)
 
