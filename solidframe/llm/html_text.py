@@ -6,9 +6,9 @@ loses density. The densities of a node's block children are summed (its own coun
 block with the largest sum is the main content, and the least density on its path to the body is the threshold:
 below the body, every other node that reaches it gives the largest-sum node of its own subtree. Of equal sums an
 article or main element goes first, then the outer node. What lies between two such nodes in their common
-ancestor belongs to them, and so do headings right before them. If the body has the largest sum, all in it is taken but menus: elements below the
-threshold with most characters in links. Elements that are no content by their tag, role
-or the words of their class and id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+ancestor belongs to them, and so do headings right before them. If the body has the largest sum, all in it is
+taken but menus: blocks below the threshold with most characters in links. Elements that are no content by their
+tag, role or the words of their class and id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments) are left out first and count in no density.
 
 Pages are independent rows: no shuffle. The parser is tolerant: unclosed and misnested elements, missing
@@ -243,11 +243,8 @@ class Densities:
         return self.block[k] and 2 * self.links[k] > self.chars[k] and self.density[k] < self.threshold
 
     def content(self) -> set[int]:
-        """The largest-sum element, and those of other subtrees that reach the least density on its path to the body;
-        if the body itself has the largest sum, what stands in it but menus."""
-        if not self.best[0]:
-            return {k for k in self.children[0] if self.chars[k] and not self.menu(k)}
-        out, wait = {self.best[0]}, list(self.children[0])
+        """The largest-sum element, and those of other subtrees that reach the least density on its path to the body."""
+        out, wait = {self.best[0]}, list(self.children[0]) if self.best[0] else []
         while wait:
             k = wait.pop()
             if self.chars[k] and self.density[k] >= self.threshold:
@@ -298,11 +295,10 @@ def main_text(source: str | None) -> str:
     content, common = _region(page, found, found.content())
     kept = [False] * len(page.tags)
     for k in range(len(kept)):
-        kept[k] = not gone[k] and (k in content or k > 0 and kept[page.parents[k]])
+        inherits = k > 0 and kept[page.parents[k]] and not (page.parents[k] == 0 and found.menu(k))
+        kept[k] = not gone[k] and (k in content or inherits)
     inside = [i for i, (k, x) in enumerate(texts) if x and kept[k]]
     lo, hi = (inside[0], inside[-1]) if inside else (0, -1)
-    if not found.best[0]:  # all text of the body itself
-        lo, hi = -1, len(texts)
     blocks, now = [], []
     for i, (k, x) in enumerate([*texts, (0, None)]):
         if x is None:
