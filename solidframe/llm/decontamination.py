@@ -12,9 +12,11 @@ is left are the starts of exact matches. With ``slop`` > 0 a term may stand up t
 place (proximity match).
 
 Items go to the tasks in groups of at most ``group_bytes`` of text (what is broadcast is bounded by that
-parameter); with more items the rows are written once with a key of their own, the index is searched once for
-each group, and the spans of each row are put together by that key. With the items given, terms that no item
-has are left out of the postings.
+parameter). With one group the postings are made and searched in one pass, and terms that no item has are left
+out of them. With more, rows get a key of their own, the index is stored in the shared folder, and each group
+searches what is stored: texts are cut and hashed once whatever the number of items. The spans of a row are put
+together by its key. An index may also be stored by the caller (``build_postings``) and searched for further
+items with ``search_postings``.
 
 Cases: null and blank texts have no words and no hits; items without words match nothing; equal items and
 equal rows are each reported; an empty corpus gives an empty result, empty items give no hits; null item
@@ -233,11 +235,10 @@ def decontaminate(
         return search_postings(build_postings(docs, phrases), phrases, slop)
     # ids may repeat or be null; written, so that a row has one key in every search
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
+    postings = materialize(build_postings(rows.select(F.col("_row").alias("doc_id"), "text")))
     every = None
     for group in chain((first, second), groups):
-        phrases = Phrases(group, window)
-        found = search_postings(build_postings(keyed, phrases), phrases, slop)
+        found = search_postings(postings, Phrases(group, window), slop)
         every = found if every is None else every.unionByName(found)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     whole = every.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

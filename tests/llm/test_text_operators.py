@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from solidframe.llm.components import connected_components
-from solidframe.llm.decontamination import build_postings, decontaminate, hit_words, joined_spans
+from solidframe.llm.decontamination import Phrases, build_postings, decontaminate, hit_words, joined_spans, search_postings
 from solidframe.llm.near_dedup import _each_set, near_duplicates
 from solidframe.llm.shared import ALNUM, FOLDED, PLAIN, column_bytes, window_hash
 from solidframe.llm.substring_dedup import COVERS, period_for, substring_dedup
@@ -136,6 +136,15 @@ def test_decontamination_cases(spark, docs_of):
     assert [(x.start, x.end) for x in joined] == [(0, 5), (7, 9)]
 
 
+def test_stored_postings_are_searched_again(spark, docs_of, texts, tmp_path):
+    rows = [*texts, (70, "x w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 y")]
+    build_postings(docs_of(rows)).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for items in (ITEMS, [(20, "w3 w1"), (21, "a"), (22, "none here")]):
+        out = search_postings(index, Phrases([(str(i), t) for i, t in items], 2)).select("doc_id", "n_words", hit_words(F.col("spans")), "items").collect()
+        assert {r[0]: (r[1], r[2], list(r[3])) for r in out} == hits(rows, items, 2)
+
+
 def components(rows, shingle, percent=80):
     fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     sets = {}
