@@ -6,10 +6,10 @@ their id: each statistic is cut into up to 64 bins at its quantiles, gradients a
 loss are summed into histograms, and every node takes the split with the largest gain. The trees are full to
 their depth and flattened into arrays, so that a batch goes down all trees level by level by array lookups.
 
-Only the bounded sample's statistics reach the driver. Scoring is a scan without a shuffle.
+Only the bounded sample's statistics reach the driver, at most one row for each label of it. Scoring is a scan without a shuffle.
 
 Cases: null and empty texts are scored from statistics of zero; null labels and labels without a document
-are not learned from; repeated labels count each; with labels of one kind or none the score is their share,
+are not learned from; repeated labels count each; of documents with one id that with the smallest statistics is learned from; with labels of one kind or none the score is their share,
 0.5 without any; equal rows agree; empty tables give empty results; further columns are not read.
 """
 
@@ -22,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, Words, column_bytes, runs_of_texts, spans_to_mask, window_hash
+from .shared import PLAIN, Words, column_bytes, materialize, runs_of_texts, spans_to_mask, window_hash
 
 NAMES = (
-    "log_words", "word_length", "word_length_deviation", "upper", "digits", "symbols", "bars", "punctuation", "non_ascii",
+    "log_words", "word_length", "word_length_deviation", "upper", "digits", "symbols", "punctuation", "non_ascii",
     "distinct_words", "repeated_windows", "repeated_lines", "words_per_line", "short_words", "long_words", "log_lines",
 )
 LINES = Words(b"\n", lower=False)
 WINDOW = 5
 SCORES = "doc_id long, score double"
 
-_CLASSES = np.zeros((6, 256), bool)
-for _k, _set in enumerate((range(65, 91), range(48, 58), b"#*$%&|<>", b"|", b".,;:!?'\"()-", range(0xC0, 0x100))):
+_CLASSES = np.zeros((5, 256), bool)
+for _k, _set in enumerate((range(65, 91), range(48, 58), b"#*$%&|<>", b".,;:!?'\"()-", range(0xC0, 0x100))):
     _CLASSES[_k, list(_set)] = True
 
 
@@ -135,9 +135,9 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
             yield batch.slice(a, b - a), statistics(data, offsets[a : b + 1])
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, x in _each(batches):
-        yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
@@ -145,10 +145,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> T
 
     ``max_rows`` bounds the labelled rows that are learned from; with more, those with the smallest hashes.
     """
-    known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h"))
-    some = known.orderBy("_h", "doc_id", "label").limit(max_rows).drop("_h")
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label").mapInArrow(_labelled, "label int, x array<double>")
-    found = sorted((tuple(r["x"]), r["label"]) for r in rows.limit(4 * max_rows).collect())  # the order of rows plays no part
+    known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("_h"))
+    some = materialize(known.orderBy("_h", "doc_id", "label").limit(max_rows).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    # of documents that share an id one is taken, the same in every run, so no more rows than labels reach the driver
+    described = own.mapInArrow(_described, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = described.join(some, "doc_id").collect()
+    found = sorted((tuple(r["x"]), r["label"]) for r in rows for _ in range(r["n"]))  # the order of rows plays no part
     x = np.array([r for r, _ in found]).reshape(len(found), len(NAMES))
     return fit_trees(x, np.array([y for _, y in found], float))
 

@@ -165,7 +165,7 @@ def test_statistics_of_texts():
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     got = {n: c for n, c in zip(NAMES, statistics(np.frombuffer(data, np.uint8), offsets).T, strict=True)}
     assert np.allclose(np.expm1(got["log_words"]), [0, 8, 10, 1]) and np.allclose(got["repeated_windows"], [0, 0, 1, 0])
-    assert np.allclose(got["upper"][1], 2 / 24) and np.allclose(got["repeated_lines"], [0, 1 / 3, 0, 0]) and got["bars"][1] == 1 / 24 and np.isfinite(list(got.values())).all()
+    assert np.allclose(got["upper"][1], 2 / 24) and np.allclose(got["repeated_lines"], [0, 1 / 3, 0, 0]) and got["symbols"][1] == 2 / 24 and np.isfinite(list(got.values())).all()
 
 
 def test_classifier_cases(spark, docs_of):
@@ -178,6 +178,33 @@ def test_classifier_cases(spark, docs_of):
     assert np.allclose(sorted(got.values()), sorted(r.score for r in score_quality(docs, fit_quality(docs.repartition(5), labels)).collect()))
 
 
+def test_histogram_fit_against_all_splits():
+    """One tree of one level: the split with the largest gain among all bounds between bins, and its leaves, by brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = (x[:, 2] + rng.normal(0, 3, 300) > 6).astype(float)
+    model = fit_trees(x, y, trees=1, depth=1, rate=0.5, least=10, shrink=2.0)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+    part = lambda at: g[at].sum() ** 2 / (h[at].sum() + 2.0)
+    every = [(part(x[:, f] <= b) + part(x[:, f] > b) - part(np.ones(300, bool)), f, b) for f in range(4) for b in range(12) if 10 <= (x[:, f] <= b).sum() <= 290]
+    best = max(every, key=lambda s: s[0])
+    assert (model.feature[0, 0], model.bound[0, 0]) == best[1:]
+    left = x[:, best[1]] <= best[2]
+    want = [0.5 * g[at].sum() / (h[at].sum() + 2.0) for at in (left, ~left)]
+    assert np.allclose(model.leaf[0], want) and math.isclose(model.bias, math.log(p / (1 - p)))
+
+
+def test_classifier_takes_one_of_the_documents_of_an_id(spark, docs_of):
+    some = [(k, f"text number {k} " * (k + 1)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, label int")
+    many = docs_of(some + [(k, t + "more " * j) for k, t in some for j in range(1, 9)])
+    one, two = (fit_quality(d, labels, max_rows=60) for d in (many, many.repartition(7)))
+    assert np.array_equal(one.leaf, two.leaf) and np.array_equal(one.bound, two.bound)
+    plain = fit_quality(docs_of(some), labels, max_rows=60)
+    assert np.array_equal(one.leaf, plain.leaf)  # the shortest has the smallest statistics
+
+
 def test_classifier_accuracy(spark, sf_dir):
     rows = QUERIES["op10_quality_classifier"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.8 * len(rows)
