@@ -67,6 +67,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), spark.sql(RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter with a crawl log: pages in runs of eight, each redirected to the one before it or its canonical link."""
+    pages = table(spark, sf_dir, "pages")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("b"))
+    log = pages.filter("(page_id + 1) % 8 <> 0").select("page_id", F.col("url").alias("a")).join(after, "page_id").select("a", "b")
+    return url_filter(pages, spark.sql(RULES), log).select("page_id", "verdict", "by_alias")
+
+
 def _crc(by: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
@@ -100,6 +108,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
+    "alias_verdicts": alias_verdicts,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_html_text": op9_html_text,
@@ -183,18 +192,35 @@ SELECT doc.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, coalesce(component
 FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id LEFT JOIN class ON size.f = class.f LEFT JOIN component ON class.rep = component.a
 """
 
-# pages of these tables have no redirects or canonical links, so without a rule every url is allowed
-ORACLES["op6_url_filter"] = r"""
-WITH part AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), url AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part
+_URL_RULES = """url AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+  FROM (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
 ), rule AS (
   SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, p, action)
 ), best AS (
   SELECT page_id, h || p AS rule, action FROM url JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, action) = 1
-)
+)"""
+
+# pages of these tables have no redirects or canonical links, so without a rule every url is allowed
+ORACLES["op6_url_filter"] = f"""
+WITH {_URL_RULES}
 SELECT url.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM url LEFT JOIN best ON url.page_id = best.page_id
 """
+
+ORACLES["alias_verdicts"] = f"""
+WITH RECURSIVE {_URL_RULES}, node AS (
+  SELECT url.page_id, host || tail AS node, action FROM url LEFT JOIN best ON url.page_id = best.page_id
+), link AS (
+  SELECT a.node AS a, b.node AS b FROM node a JOIN node b ON b.page_id = a.page_id + 1 WHERE (a.page_id + 1) % 8 <> 0 AND a.node <> '' AND b.node <> ''
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT a, a AS b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), decided AS (
+  SELECT reach.a, bool_or(action = 'allow') AS ok FROM reach JOIN node ON node.node = reach.b WHERE action IS NOT NULL GROUP BY reach.a
+)
+SELECT page_id, coalesce(action, CASE WHEN ok THEN 'allow' WHEN NOT ok THEN 'block' END, 'allow') AS verdict, action IS NULL AND ok IS NOT NULL AS by_alias
+FROM node LEFT JOIN decided ON node.node = decided.a
+"""

@@ -5,8 +5,10 @@ path; the longest rule wins, of equally long ones an allowing one. A URL without
 its aliases: redirect (meta refresh) and canonical-link edges tie URLs into components, an explicit allow in
 a component outweighs blocks, else one blocked alias blocks all; without a decision a URL is allowed.
 
-Rules are grouped by host and joined once for each number of labels that rule hosts have, so URLs are not
-exploded and, with few rules, not shuffled; a larger list is joined by a shuffle. Components are computed on
+Rules are grouped by host and the start of their path, and joined once for each number of labels that rule hosts
+have and each length of start, so URLs are not exploded and, with few rules, not shuffled; a larger list is joined
+by a shuffle. Starts are the first ``START`` characters of a rule's path, so that a host with many rules is many
+small groups; shorter paths are a group of their own length. Components are computed on
 distinct edges only (see ``components``), and decisions reach the pages by one join with the alias table.
 
 Cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null html
@@ -25,6 +27,8 @@ from .components import connected_components
 from .shared import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters of a rule's path by which the rules of a host are told apart.
+START = 8
 #: Rules that are broadcast at most; longer lists are joined by a shuffle.
 BROADCAST_RULES = 100_000
 
@@ -67,27 +71,31 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     return found.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).filter("a <> b").distinct()
 
 
-def _fitting(labels: int, path: Column) -> Column:
-    """The joined rules with so many host labels whose path fits, as (n, allow, rule, action)."""
-    host, rules = F.col(f"_h{labels}"), F.coalesce(F.col(f"_r{labels}"), F.array().cast("array<struct<path:string,action:string>>"))
+def _fitting(labels: int, start: int, path: Column) -> Column:
+    """The joined rules with so many host labels and such a start whose path fits, as (n, allow, rule, action)."""
+    host, rules = F.col(f"_h{labels}_{start}"), F.coalesce(F.col(f"_r{labels}_{start}"), F.array().cast("array<struct<path:string,action:string>>"))
     as_rule = lambda x: F.struct((F.length(host) + F.length(x["path"])).alias("n"), (x["action"] == "allow").alias("allow"), F.concat(host, x["path"]).alias("rule"), x["action"].alias("action"))
     return F.transform(F.filter(rules, lambda x: F.startswith(path, x["path"])), as_rule)
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """``urls`` with ``rule`` (host and path) and ``action`` of the longest rule that fits, null where none does."""
-    rules = rules.filter("host IS NOT NULL AND path IS NOT NULL AND action IN ('allow', 'block')").withColumn("labels", F.size(F.split("host", r"\.")))
-    depths = [r[0] for r in rules.select("labels").distinct().orderBy("labels").limit(128).collect()]
-    by_host = rules.groupBy("host", "labels").agg(F.collect_list(F.struct("path", "action")).alias("_rules"))
+    rules = rules.filter("host IS NOT NULL AND path IS NOT NULL AND action IN ('allow', 'block')").select("host", "path", "action").distinct()
+    rules = rules.withColumns({"labels": F.size(F.split("host", r"\.")), "start": F.least(F.length("path"), F.lit(START))})
+    # one join for each: as many as host names have labels, times START + 1
+    kinds = sorted((r["labels"], r["start"]) for r in rules.select("labels", "start").distinct().collect())
+    grouped = rules.groupBy("host", "labels", "start", F.substring("path", 1, START).alias("head")).agg(F.sort_array(F.collect_list(F.struct("path", "action"))).alias("_rules"))
     small = rules.count() <= BROADCAST_RULES
     keep = urls.columns
-    for d in depths:
-        own = by_host.filter(F.col("labels") == d).select(F.col("host").alias(f"_h{d}"), F.col("_rules").alias(f"_r{d}"))
-        urls = urls.join(F.broadcast(own) if small else own, F.substring_index(F.col(host), ".", -d) == F.col(f"_h{d}"), "left")
-    fits = [_fitting(d, F.col(path)) for d in depths]
-    if not fits:
+    for d, n in kinds:
+        name = f"{d}_{n}"
+        own = grouped.filter((F.col("labels") == d) & (F.col("start") == n)).select(F.col("host").alias(f"_h{name}"), F.col("head").alias(f"_p{name}"), F.col("_rules").alias(f"_r{name}"))
+        fits = (F.substring_index(F.col(host), ".", -d) == F.col(f"_h{name}")) & (F.substring(F.col(path), 1, n) == F.col(f"_p{name}"))
+        urls = urls.join(F.broadcast(own) if small else own, fits, "left")
+    found = [_fitting(d, n, F.col(path)) for d, n in kinds]
+    if not found:
         return urls.select(*keep, F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
-    best = urls.select(*keep, F.array_max(reduce(F.concat, fits)).alias("_best"))
+    best = urls.select(*keep, F.array_max(reduce(F.concat, found)).alias("_best"))
     return best.select(*keep, F.col("_best.rule").alias("rule"), F.col("_best.action").alias("action"))
 
 

@@ -95,6 +95,19 @@ def test_url_aliases(spark, rules):
     assert {r.page_id: r.verdict for r in url_filter(pages, rules, more).collect()}[9] == "block"
 
 
+def test_many_rules_and_depths(spark):
+    """A host with many rules, and rule hosts of more than a hundred depths, against all rules tried on each URL."""
+    deep = [(".".join(["a"] * k), "/", "block") for k in range(1, 140)]
+    many = [("hot.org", f"/path/{k}/" + "x" * (k % 5), ["allow", "block"][k % 2]) for k in range(300)] + [("hot.org", "", "allow"), ("hot.org", "/p", "block"), ("hot.org", "/p", "block")]
+    urls = [f"http://www.hot.org/path/{k}/{'x' * (k % 7)}" for k in range(40)] + ["http://hot.org/p", "http://hot.org", "http://" + ".".join(["a"] * 139) + "/", "http://b.a.a/"]
+    for own in (deep[::23] + deep[-1:], many):
+        pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+        out = url_filter(pages, spark.createDataFrame(own, "host string, path string, action string")).collect()
+        for r in out:
+            fit = [(len(h + p), a == "allow", h + p, a) for h, p, a in own if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+            assert (r.rule, r.verdict) == (max(fit)[2:] if fit else (None, "allow"))
+
+
 def statistics(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
