@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize, shared_dir
+from ..sources.tables import materialize, release, remove, scratch, shared_dir
 
 #: Separators of words by white space, as a character class of Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE = 1 << 20
 
 _U = np.uint64
+
+
 def text_size(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows, and bytes of text; what decides how many blocks and buckets a job is cut into."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from solidframe.llm.chat import format_conversations, format_turn, parse_turns, read_back, unescape
 from solidframe.llm.html_text import extract_text, main_text
@@ -227,3 +228,27 @@ def test_pipeline(spark, sf_dir):
     for k, w in enumerate(texts):  # no passage of 50 words is left in two places
         for i in range(len(w) - 49):
             assert seen.setdefault(tuple(w[i : i + 50]), (k, i)) == (k, i)
+
+
+def test_pipeline_with_repeated_ids(spark, docs_of, tmp_path):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, leak = text(60), text(12)
+    one, two, three = text(80), text(90), text(70)
+    rows = [(1, one), (1, one), (1, two + " " + passage), (2, text(30) + " " + leak + " " + text(30)), (2, three), (None, one), (None, text(40)), (3, passage + " " + text(50)), (4, "short"), (4, text(45))]
+    rows += [(100 + k, text(60)) for k in range(60)]
+    docs = docs_of(rows).drop("size", "n", "extra").withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = docs
+    for name, stage in p.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, got, str(tmp_path)).write.parquet(path)
+        got = spark.read.parquet(path)
+    out = sorted(((r.doc_id if r.doc_id is not None else -1), r.text) for r in got.collect() if (r.doc_id or 0) < 100)
+    want = [(-1, one), (-1, rows[6][1]), (1, two + " " + passage), (2, three), (3, rows[7][1][len(passage) + 1 :]), (4, rows[9][1])]
+    assert out == sorted(want) and got.filter("doc_id >= 100").count() == 60
