@@ -4,17 +4,18 @@ A turn is written as ``### role: text </turn>`` and a newline. Inside a role or
 next character: backslashes, every ``###`` and every ``</turn>`` (in roles also ``:``), so no text can end or
 begin a turn, and unescaping gives the text back.
 
-Turns of a conversation stream in order, with the running sum of their tokens. A window holds turns up to
-``budget`` tokens: the largest turn-aligned span whose sum still fits. Each window after the first starts
-with the system turn and as many of the last turns, up to ``history`` tokens, as fit beside the next turn;
-these are repeated, and their targets are masked: loss spans cover each assistant text once. A turn over the
-budget stands alone; nothing is cut.
+Turns are written and their tokens counted where they lie, in even partitions. Then the turns of a conversation
+stream in order, with the running sum of their tokens. A window holds turns up to ``budget`` tokens: the largest
+turn-aligned span whose sum still fits. Each window after the first starts with the system turn and as many of the
+last turns, up to ``history`` tokens, as fit beside the next turn; these are repeated, and their targets are
+masked: loss spans cover each assistant text once. Nothing is cut: a turn over the budget is the one turn of its
+window beside the system turn, which is repeated even where both together exceed the budget.
 
 Conversations are dealt out and sorted by (conv_id, turn); a task holds one window at a time, so a conversation
 with a third of all rows needs no more memory than others. The order within a conversation makes it one
-task's work.
+task's work, but what that task does is to put written turns together.
 
-Cases: null text or role counts as empty; rows with equal or null turn are ordered by role and text, null
+Cases: null text or role counts as empty; rows with equal or null turn are ordered as they are written, null
 turns first; repeated rows are turns of their own; a null conv_id is one conversation; an empty table gives
 no windows; further columns are not read.
 """
@@ -122,32 +123,45 @@ def _rows(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(found, schema)
 
 
-def _windows(budget: int, history: int, tokenizer: str):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("tokens", pa.int64())])
+TURNS = "conv_id long, turn long, role string, text string, start long, end long, tokens long"
+
+
+def _written(tokenizer: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
         model.encode_special_tokens = True
-        now, size, found = None, 0, []
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 roles = [x or "" for x in part.column("role").to_pylist()]
                 turns = [format_turn(r, t or "") for r, t in zip(roles, part.column("text").to_pylist(), strict=True)]
                 counts = [len(x.ids) for x in model.encode_batch([t for t, _, _ in turns], add_special_tokens=False)]
-                for conv_id, role, turn, tokens in zip(part.column("conv_id").to_pylist(), roles, turns, counts, strict=True):
-                    if now is None or now.conv_id != conv_id:
-                        if now is not None:
-                            found.append(now.close())
-                        now = _Conversation(conv_id, budget, history)
-                    done = now.add(role, turn, tokens)
-                    if done:
-                        found.append(done)
-                        size += len(done["text"])
-                    if size > 1 << 20 or len(found) > 1000:
-                        yield _rows(found, _WINDOWS)
-                        size, found = 0, []
+                columns = [part.column("conv_id"), part.column("turn"), pa.array(roles, pa.string()), *(pa.array([t[k] for t in turns], _TURNS.field(3 + k).type) for k in range(3)), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_TURNS)
+
+    return write
+
+
+def _windows(budget: int, history: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, found = None, 0, []
+        for batch in batches:
+            for conv_id, role, text, start, end, tokens in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text", "start", "end", "tokens")), strict=True):
+                if now is None or now.conv_id != conv_id:
+                    if now is not None:
+                        found.append(now.close())
+                    now = _Conversation(conv_id, budget, history)
+                done = now.add(role, (text, start, end), tokens)
+                if done:
+                    found.append(done)
+                    size += len(done["text"])
+                if size > 1 << 20 or len(found) > 1000:
+                    yield _rows(found, _WINDOWS)
+                    size, found = 0, []
         if now is not None:
             found.append(now.close())
         if found:
@@ -164,7 +178,8 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
     tokenizers library that every executor can read.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(_windows(budget, history, tokenizer), WINDOWS)
+    written = rows.mapInArrow(_written(tokenizer), TURNS)
+    return written.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").mapInArrow(_windows(budget, history), WINDOWS)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
