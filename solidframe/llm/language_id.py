@@ -8,7 +8,8 @@ words. The language with the largest posterior (equal priors) is predicted, its
 The counts come from a bounded sample: at most ``max_docs`` labelled documents of each language, those with
 the smallest hash of their id. Words are counted by Spark; what reaches the driver is one number for each
 language and piece, bounded by the vocabulary. Scoring is a scan without a shuffle over whole texts; each
-distinct word of a few MB of text is summed once, all such words together.
+distinct word of a few MB of text is summed once, all such words together. The model (a number for each piece
+and language) reaches the tasks as a broadcast variable, which Spark makes of functions over 1 MB.
 
 Cases: null text and text without letters is ``und`` with score 0; so is all text if nothing was learned;
 ties go to the first language in code point order; characters that no piece has cost the same in every
@@ -35,6 +36,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"  # how the vocabulary marks the start of a word
 #: Share of an unknown character; added to each count.
 FLOOR, SMOOTH = 1e-7, 0.05
+#: Characters times languages that are summed together; what the sums of a step take is in proportion.
+ROOM = 1 << 20
 #: Ids of the sample that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Ids of a language that are ranked, in samples.
@@ -119,7 +122,7 @@ class Unigrams:
         out = np.empty((len(words), len(self.langs)))
         a = 0
         while a < len(order):  # words of like length together, so that the sums take bounded room
-            b = a + max(1, int((1 << 18) // lengths[order[a]]))
+            b = a + max(1, int(ROOM // (lengths[order[a]] * max(1, len(self.langs)))))
             out[order[a:b]] = self._forward([_START + words[k] for k in order[a:b]], lengths[order[a:b]])
             a = b
         return out

@@ -49,6 +49,8 @@ def test_chat(spark, budget, history):
         parsed = parse_turns(w.text)
         assert len(parsed) == w.n_turns > w.n_repeated
         assert w.n_tokens <= budget or w.n_turns - w.n_repeated == 1
+        if w.n_tokens > budget:  # the one turn, alone or beside the system turn
+            assert w.n_repeated == 0 or w.n_repeated == 1 and parsed[0][0] == "system"
         if w.conv_id == 5 and w.window:
             assert parsed[0][0] == "system"
         spans = {(s.start, s.end) for s in w.loss}
@@ -94,6 +96,38 @@ def test_language_cases(docs_of):
     assert identify_language(docs.filter("false"), model).count() == 0
 
 
+def test_language_model_by_hand(docs_of):
+    """Counts of pieces, shares, sums over segmentations and the largest posterior, recomputed plainly."""
+    import sentencepiece
+
+    from solidframe.llm.language_id import MODEL, SMOOTH, words_of
+
+    rows = [(1, "The cat, the dog!", "en"), (2, "cats and dogs", "en"), (3, "der Hund und die Katze", "de"), (4, "das Haus", "de")]
+    model = fit_unigrams(docs_of(rows))
+    split = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    known = [split.id_to_piece(k) for k in range(split.get_piece_size()) if not (split.is_control(k) or split.is_unknown(k) or split.is_byte(k))]
+    counts = {lang: dict.fromkeys(known, SMOOTH) for lang in ("de", "en")}
+    for _, text, lang in rows:
+        for w in words_of(text):
+            for piece in split.encode(w, out_type=str):
+                counts[lang][piece] += 1
+    shares = {lang: {p: n / sum(own.values()) for p, n in own.items()} for lang, own in counts.items()}
+
+    def log_sum(lang, word):
+        ways = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(end):
+                piece = word[start:end]
+                ways[end] += ways[start] * shares[lang].get(piece, FLOOR if end - start == 1 else 0.0)
+        return math.log(ways[-1])
+
+    for text in ("the house", "die Katze und der Hund", "cat Haus", "zebra"):
+        logs = {lang: sum(log_sum(lang, "▁" + w) for w in words_of(text)) for lang in shares}
+        want = max(sorted(logs), key=logs.get)
+        (name,), (score,) = model.predict([text])
+        assert name == want and math.isclose(score, 1 / (1 + math.exp(min(logs.values()) - max(logs.values()))), rel_tol=1e-6)
+
+
 def test_language_accuracy(spark, sf_dir):
     got = QUERIES["op7_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
