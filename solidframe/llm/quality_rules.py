@@ -2,21 +2,22 @@
 
 Statistics of each text are transformed into a vector of five: mean word length, log of symbols per word,
 share of repeated lines, share of words in repeated windows, share of upper-case A-Z. For each language and
-source the centre and scatter of the vectors are estimated by the minimum covariance determinant: from two
-starts (distances from the median, plain and scaled by the median absolute deviation) concentration steps
-keep the ``SUBSET`` share of documents nearest to the last estimate; the start that ends with the smaller
-determinant is taken, made consistent and reweighted once. A document is an outlier if its squared
-Mahalanobis distance exceeds ``CUTOFF``.
-
-Each step is a grouped quantile and grouped sums, both pre-aggregated, over a narrow table of statistics
-written once; a source with a third of all rows costs no more than others. Groups under ``min_group``
-documents are judged with the other small groups of their language, and where those are too few with all
-small groups; what is still too small has no outliers. Documents that the fixed limits reject take no part
-in the estimates.
+source the centre and scatter of the vectors are estimated by the minimum covariance determinant (Rousseeuw and
+Van Driessen 1999): from two starts (distances from the median, plain and scaled by the median absolute deviation)
+concentration steps keep the ``SUBSET`` share of documents nearest to the last estimate, until no determinant
+changes by more than ``TOLERANCE``; the start that ends with the smaller determinant is taken and reweighted once.
+Both scatters are multiplied by the factors that make them consistent for normal vectors. A document is an outlier
+if its squared Mahalanobis distance exceeds a quantile of the chi-square distribution.
+
+Both starts go through each step together, as rows of one narrow table that is written once; a step is a grouped
+quantile and grouped sums, both pre-aggregated, so a source with a third of all rows costs no more than others.
+A language and source with fewer than ``min_group`` documents is judged by the estimate over all documents of its
+language, and where those are too few by the estimate over all. With fewer than ``LEAST`` documents in all there is no
+estimate. Documents that the fixed limits reject take no part in the estimates.
 
 Cases: null and blank texts have no words and fail; null language or source is a group of its own; repeated
 rows are judged each, and alike; empty tables give empty results; columns beyond text, lang, source and
-doc_id are kept by ``quality_filter`` and ignored here.
+doc_id are not read.
 """
 
 from __future__ import annotations
@@ -29,19 +30,41 @@ from pyspark.sql import functions as F
 from .shared import SPACE, materialize
 
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper")
-#: Least standard deviation of each feature: the scale below which a difference says nothing about quality.
-#: It keeps the scatter regular where most documents have no symbols or repeats at all.
+#: Standard deviations that are added to those of each feature, so that the scatter is regular where most documents
+#: have no symbols or repeats at all. Set by judgement, as differences that say nothing about quality: a third of a
+#: character, one symbol in twenty words, one line in four, one word or letter in twelve.
 FLOORS = (0.35, 0.05, 0.25, 0.08, 0.08)
-SUBSET = 0.75
-#: Fixed values of the chi-square distribution with 5 degrees of freedom: the consistency factor of the
-#: 75 % subset, the 97.5 % quantile for reweighting.
-CONSISTENT, REWEIGHT = 1.41, 12.83
-CUTOFF = 30.0
+SUBSET, TOLERANCE, MAX_STEPS = 0.75, 1e-4, 20
+#: Share of normal vectors that count in the reweighted estimate, and share that would be rejected.
+REWEIGHTED, REJECTED = 0.975, 1e-5
+#: Documents that an estimate needs: twice the number of features.
+LEAST = 2 * len(FEATURES)
 WINDOW = 5
 _N = len(FEATURES)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
 
 
+def chi_square(x: float, k: int) -> float:
+    """Distribution function for an odd number k of degrees of freedom."""
+    out = math.erf(math.sqrt(x / 2))
+    for n in range(1, k, 2):
+        out -= (x / 2) ** (n / 2) * math.exp(-x / 2) / math.gamma(n / 2 + 1)
+    return out
+
+
+def chi_square_quantile(p: float, k: int) -> float:
+    lo, hi = 0.0, 1000.0
+    while hi - lo > 1e-9:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square(mid, k) < p else (lo, mid)
+    return hi
+
+
+def consistency(share: float) -> float:
+    """Factor of a scatter that is estimated from the nearest share of normal vectors."""
+    return share / chi_square(chi_square_quantile(share, _N), _N + 2)
+
+
 def _get(array: Column, i: Column) -> Column:
     return F.get(array, i)
 
@@ -92,84 +115,87 @@ def _features() -> list[Column]:
     return [length, F.log1p(share("n_symbols", "n_words")), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), upper]
 
 
-def _pools(stats: DataFrame, min_group: int) -> DataFrame:
-    """``stats`` with the pool whose estimate judges each row."""
-    own, lang, rest = F.xxhash64(F.lit(0), "lang", "source"), F.xxhash64(F.lit(1), "lang"), F.xxhash64(F.lit(2))
-    sizes = stats.filter("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < min_group)
-    langs = small.groupBy("lang").agg(F.sum("n").alias("ln"))
-    tiny = langs.filter(F.col("ln") < min_group).select("lang")
-    s = small.select(F.col("lang").alias("sl"), F.col("source").alias("ss"))
-    t = tiny.select(F.col("lang").alias("tl"), F.lit(True).alias("tiny"))
-    s = s.join(t, F.col("sl").eqNullSafe(F.col("tl")), "left").select("sl", "ss", F.when(F.col("tiny"), rest).otherwise(F.xxhash64(F.lit(1), "sl")).alias("pool"))
-    joined = stats.join(s, F.col("lang").eqNullSafe(F.col("sl")) & F.col("source").eqNullSafe(F.col("ss")), "left")
-    return joined.withColumn("pool", F.coalesce("pool", own)).drop("sl", "ss")
+def _groups(stats: DataFrame, min_group: int) -> DataFrame:
+    """For each language and source: the pool whose estimate judges it, and the pools that its documents count in."""
+    own, lang, every = F.xxhash64(F.lit(0), "_lang", "_source"), F.xxhash64(F.lit(1), "_lang"), F.xxhash64(F.lit(2))
+    sizes = materialize(stats.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(F.count_if(~F.col("base_failed")).alias("n")))
+    langs = sizes.groupBy(F.col("_lang").alias("_l")).agg(F.sum("n").alias("in_lang"), F.min("n").alias("least"))
+    langs = langs.withColumns({"big": F.col("in_lang") >= min_group, "asked": (F.col("in_lang") >= min_group) & (F.col("least") < min_group)})
+    total = langs.agg(F.sum("in_lang").alias("total"), F.coalesce(F.bool_or(~F.col("big")), F.lit(False)).alias("all_asked"))
+    named = sizes.join(langs, F.col("_lang").eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(total))  # one row
+    enough = F.col("n") >= min_group
+    pool = F.when(enough, own).when(F.col("big"), lang).when(F.col("total") >= LEAST, every)
+    members = F.array_compact(F.array(F.when(enough, own), F.when(F.col("asked"), lang), F.when(F.col("all_asked") & (F.col("total") >= LEAST), every)))
+    return materialize(named.select("_lang", "_source", pool.alias("pool"), members.alias("pools")))
 
 
 def _bounded(table: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table with one row per pool: broadcast if it is small, else joined by a shuffle."""
+    """A table with few rows per pool: broadcast if it is small, else joined by a shuffle."""
     return F.broadcast(table) if table.count() <= most else table
 
 
-def _fit(rows: DataFrame, weight: Column, scale: float = 1.0) -> DataFrame:
-    """Centre, factor of the scatter and log determinant of each pool from the rows that ``weight`` selects."""
-    x = [F.when(weight, F.col(f"x{i}") - F.col(f"o{i}")) for i in range(_N)]
-    sums = rows.groupBy("pool").agg(
-        F.count(F.when(weight, 1)).alias("k"), *(F.sum(x[i]).alias(f"s{i}") for i in range(_N)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _PAIRS), *(F.first(f"o{i}").alias(f"o{i}") for i in range(_N))
-    )
-    k = F.greatest(F.col("k"), F.lit(1)).cast("double")
-    mean = sums.select("pool", "k", *((F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / k).alias(f"d{i}") for i in range(_N)), *((F.coalesce(F.col(f"s{i}_{j}"), F.lit(0.0)) / k).alias(f"q{i}_{j}") for i, j in _PAIRS), *(f"o{i}" for i in range(_N)))
-    out = mean.select("pool", "k", *((F.col(f"o{i}") + F.col(f"d{i}")).alias(f"m{i}") for i in range(_N)), *(((F.col(f"q{i}_{j}") - F.col(f"d{i}") * F.col(f"d{j}")) * scale + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS))
-    for j in range(_N):  # Cholesky factor, column by column
-        done = [f"l{a}_{b}" for a, b in _PAIRS if b < j]
-        diag = F.sqrt(F.greatest(F.col(f"c{j}_{j}") - sum((F.col(f"l{j}_{b}") ** 2 for b in range(j)), F.lit(0.0)), F.lit(1e-9)))
-        out = out.withColumn(f"l{j}_{j}", diag)
-        for i in range(j + 1, _N):
-            out = out.withColumn(f"l{i}_{j}", (F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{b}") * F.col(f"l{j}_{b}") for b in range(j)), F.lit(0.0))) / F.col(f"l{j}_{j}"))
-        del done
+def _fit(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Centre, Cholesky factor of the scatter and its log determinant, for the rows of each key."""
+    sums = rows.groupBy(*keys).agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(_N)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS))
+    cov = lambda i, j: (F.col(f"q{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (FLOORS[i] ** 2 if i == j else 0.0)
+    means = [f"m{i}" for i in range(_N)]
+    out = sums.select(*keys, *means, *(cov(i, j).alias(f"c{i}_{j}") for i, j in _PAIRS))
+    for j in range(_N):  # column by column
+        less = lambda i, j=j: F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{b}") * F.col(f"l{j}_{b}") for b in range(j)), F.lit(0.0))
+        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(less(j), F.lit(1e-9))))
+        if j + 1 < _N:
+            out = out.withColumns({f"l{i}_{j}": less(i) / F.col(f"l{j}_{j}") for i in range(j + 1, _N)})
     logdet = sum((F.log(F.col(f"l{j}_{j}")) for j in range(_N)), F.lit(0.0)) * 2
-    return out.select("pool", "k", *(f"m{i}" for i in range(_N)), *(f"l{i}_{j}" for i, j in _PAIRS), logdet.alias("logdet"))
+    return out.select(*keys, *means, *(f"l{i}_{j}" for i, j in _PAIRS), logdet.alias("logdet"))
 
 
-def _distance(rows: DataFrame, fit: DataFrame, name: str, keep: list[str]) -> DataFrame:
-    """``rows`` with the squared distance from their pool's estimate, by forward substitution."""
-    out = rows.join(fit, "pool", "left")
+def _distance(rows: DataFrame, fit: DataFrame, keys: list[str], name: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the squared distance from the estimate of their key, by forward substitution."""
+    keep = [c for c in rows.columns if c != name]
+    out = rows.select(*keep).join(fit, keys, how)
     for i in range(_N):
         out = out.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}_{b}") * F.col(f"z{b}") for b in range(i)), F.lit(0.0))) / F.col(f"l{i}_{i}"))
-    return out.withColumn(name, sum((F.col(f"z{i}") ** 2 for i in range(_N)), F.lit(0.0))).select(*keep, name)
+    return out.select(*keep, sum((F.col(f"z{i}") ** 2 for i in range(_N)), F.lit(0.0)).alias(name))
 
 
-def _concentrated(rows: DataFrame, distance: Column, steps: int) -> DataFrame:
-    """Estimate of each pool after concentration steps from a first distance."""
-    base = ["pool", *(f"x{i}" for i in range(_N)), *(f"o{i}" for i in range(_N))]
-    rows = rows.withColumn("d", distance)
-    fit = None
-    for _ in range(steps):
-        limits = materialize(rows.groupBy("pool").agg(F.percentile_approx("d", SUBSET, 1000).alias("limit")))
-        fit = materialize(_fit(rows.join(_bounded(limits), "pool"), F.col("d") <= F.col("limit")))
-        rows = _distance(rows.select(*base), _bounded(fit), "d", base)
-    return fit
+def _vectors(stats: DataFrame) -> DataFrame:
+    return stats.select("*", *(c.alias(f"x{i}") for i, c in enumerate(_features())))
 
 
-def robust_outliers(stats: DataFrame, min_group: int = 50, steps: int = 3) -> DataFrame:
-    """``stats`` (of ``text_statistics``, with base_failed) with the squared distance and the verdict ``outlier``."""
-    named = _pools(stats.select("*", *(c.alias(f"x{i}") for i, c in enumerate(_features()))), min_group)
-    rows = named.filter("NOT base_failed").select("pool", *(f"x{i}" for i in range(_N)))
-    middle = rows.groupBy("pool").agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"o{i}") for i in range(_N)))
-    middle = materialize(middle)
-    rows = rows.join(_bounded(middle), "pool")
-    spread = materialize(rows.groupBy("pool").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"o{i}")), 0.5, 1000).alias(f"a{i}") for i in range(_N))))
-    wide = rows.join(_bounded(spread), "pool")
-    gap = [F.col(f"x{i}") - F.col(f"o{i}") for i in range(_N)]
+def _estimates(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """The reweighted estimate of each pool."""
+    x = [f"x{i}" for i in range(_N)]
+    known = stats.filter("NOT base_failed").join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+    rows = _vectors(known).select(F.explode("pools").alias("pool"), *x)
+    middle = materialize(rows.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"o{i}") for i, c in enumerate(x))))
+    gaps = rows.join(_bounded(middle), "pool")
+    gap = [F.col(c) - F.col(f"o{i}") for i, c in enumerate(x)]
+    spread = materialize(gaps.groupBy("pool").agg(*(F.percentile_approx(F.abs(g), 0.5, 1000).alias(f"a{i}") for i, g in enumerate(gap))))
     plain = sum((g**2 for g in gap), F.lit(0.0))
     scaled = sum((g**2 / ((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) for i, g in enumerate(gap)), F.lit(0.0))
-    one, two = _concentrated(wide, plain, steps), _concentrated(wide, scaled, steps)
-    best = one.withColumn("w", F.lit(0)).unionByName(two.withColumn("w", F.lit(1))).groupBy("pool").agg(F.min_by(F.struct(*one.columns), F.struct("logdet", "w")).alias("f")).select("f.*")
-    # the scatter of the subset is too small by a known factor; then once more from all that lie near
-    near = _distance(rows, _bounded(materialize(best)), "d", rows.columns)
-    final = materialize(_fit(near, F.col("d") <= REWEIGHT * CONSISTENT).join(middle.select("pool", "size"), "pool"))
-    judged = _distance(named, _bounded(final.filter(F.col("size") >= min_group).drop("size")), "distance2", [c for c in named.columns if c[:1] != "x" or c[1:] not in "01234"])
-    return judged.withColumn("outlier", F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))).drop("pool")
+    keys = ["pool", "start"]
+    rows = materialize(gaps.join(_bounded(spread), "pool").select("pool", *x, F.posexplode(F.array(plain, scaled)).alias("start", "d")))
+    near, scale, before = rows, consistency(SUBSET), None
+    for _ in range(MAX_STEPS):
+        limits = materialize(near.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 1000).alias("limit")))
+        fit = materialize(_fit(near.join(_bounded(limits), keys).filter("d <= limit"), keys, scale))
+        if before is not None:
+            last = before.select(*keys, F.col("logdet").alias("_last"))
+            if fit.join(last, keys).filter(F.abs(F.col("logdet") - F.col("_last")) > TOLERANCE).isEmpty():
+                break
+        near, before = _distance(rows, _bounded(fit), keys, "d"), fit
+    best = fit.groupBy("pool").agg(F.min_by(F.struct(*fit.columns), F.struct("logdet", "start")).alias("f")).select("f.*").drop("start")
+    near = _distance(rows.filter("start = 0").drop("start"), _bounded(materialize(best)), ["pool"], "d")
+    return materialize(_fit(near.filter(F.col("d") <= chi_square_quantile(REWEIGHTED, _N)), ["pool"], consistency(REWEIGHTED)))
+
+
+def robust_outliers(stats: DataFrame, min_group: int = 50) -> DataFrame:
+    """``stats`` (of ``text_statistics``, with base_failed) with the squared distance and the verdict ``outlier``."""
+    groups = _bounded(_groups(stats, min_group))
+    named = stats.join(groups.drop("pools"), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    judged = _distance(_vectors(named.select(*stats.columns, "pool")), _bounded(_estimates(stats, groups)), ["pool"], "distance2", "left")
+    outlier = F.coalesce(F.col("distance2") > chi_square_quantile(1 - REJECTED, _N), F.lit(False))
+    return judged.select(*stats.columns, "distance2", outlier.alias("outlier"))
 
 
 def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, min_group: int = 50) -> DataFrame:

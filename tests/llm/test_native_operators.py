@@ -1,12 +1,16 @@
 """Mixing, URL filter, quality rules: against brute force, the awkward cases, and plans without Python."""
 
+import math
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from solidframe.llm.mixing import mix_sources, targets
+from solidframe.llm import quality_rules as rules_of
 from solidframe.llm.quality_rules import quality_rules, text_statistics
 from solidframe.llm.queries import QUERIES
 from solidframe.llm.url_filter import host_of, path_of, url_filter
@@ -129,8 +133,6 @@ def test_statistics(docs_of, texts):
 
 
 def test_quality_rules(docs_of):
-    import random
-
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
     clean = [(k, ". ".join(" ".join(word() for _ in range(rng.randrange(4, 12))) for _ in range(rng.randrange(3, 30))), ["en", "de"][k % 2], ["hot", "s1"][k % 5 == 0]) for k in range(400)]
@@ -144,6 +146,71 @@ def test_quality_rules(docs_of):
     assert [r.kept for r in quality_rules(docs_of([(None, " ".join(map(str, range(20)))), (1, "x")])).orderBy("doc_id").collect()] == [True, False]
 
 
+def scatter(x, scale):
+    return scale * np.cov(x.T, bias=True) + np.diag(np.square(rules_of.FLOORS))
+
+
+def squared(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def concentrate(x, distance):
+    """The h nearest rows, until the determinant stays."""
+    scale, last = rules_of.consistency(rules_of.SUBSET), None
+    while True:
+        near = x[distance <= np.sort(distance)[math.ceil(rules_of.SUBSET * len(x)) - 1]]
+        mean, cov = near.mean(0), scatter(near, scale)
+        now = np.linalg.slogdet(cov)[1]
+        if last is not None and abs(now - last) < 1e-9:
+            return now, mean, cov
+        last, distance = now, squared(x, mean, cov)
+
+
+def mcd(x, starts):
+    """Squared distances by the minimum covariance determinant, reweighted, from the best of some starts."""
+    _, mean, cov = min((concentrate(x, d) for d in starts), key=lambda f: f[0])
+    near = x[squared(x, mean, cov) <= rules_of.chi_square_quantile(rules_of.REWEIGHTED, 5)]
+    return squared(x, near.mean(0), scatter(near, rules_of.consistency(rules_of.REWEIGHTED)))
+
+
+def test_outliers_against_a_plain_estimate(docs_of):
+    """Distances equal those of the same estimate in numpy; hundreds of random starts find no other outliers."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    rows = [(k, "\n".join(" ".join(word() + "#" * (rng.random() < 0.02) for _ in range(rng.randrange(3, 12))) for _ in range(rng.randrange(2, 12))), "en", "s") for k in range(120)]
+    rows += [(200 + k, " ".join(word() + "%%" for _ in range(40)), "en", "s") for k in range(9)] + [(220 + k, " ".join(word().upper() for _ in range(40)), "en", "s") for k in range(9)]
+    stats = text_statistics(docs_of(rows).select("doc_id", "text", "lang", "source")).drop("text").withColumn("base_failed", F.lit(False))
+    found = rules_of._vectors(rules_of.robust_outliers(stats)).orderBy("doc_id").collect()
+    x = np.array([[r[f"x{i}"] for i in range(5)] for r in found])
+    gap = x - np.sort(x, 0)[math.ceil(len(x) / 2) - 1]
+    spread = np.sort(np.abs(gap), 0)[math.ceil(len(x) / 2) - 1]
+    own = mcd(x, [(gap**2).sum(1), (gap**2 / ((1.4826 * spread) ** 2 + np.square(rules_of.FLOORS))).sum(1)])
+    assert np.allclose([r.distance2 for r in found], own, rtol=1e-3)
+    draw = np.random.default_rng(0)
+    parts = [x[draw.choice(len(x), 6, replace=False)] for _ in range(300)]
+    best = mcd(x, [squared(x, p.mean(0), scatter(p, 1.0)) for p in parts])
+    limit = rules_of.chi_square_quantile(1 - rules_of.REJECTED, 5)
+    assert [r.outlier for r in found] == (best > limit).tolist() and {r.doc_id for r in found if r.outlier} == set(range(200, 209)) | set(range(220, 229))
+
+
+def test_small_groups_are_judged(docs_of):
+    """By their language, or by all; only with hardly any documents there is no estimate."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    text = lambda end="": " ".join(word() + end for _ in range(60))
+    rows = [(k, text(), "en", f"s{k % 4}") for k in range(100)] + [(200 + k, text(), "de", "x") for k in range(3)]
+    junk = [(300, text("##"), "en", "s1"), (301, text("$$$"), "de", "x"), (302, text().upper(), None, None)]
+    got = {r.doc_id: r.kept for r in quality_rules(docs_of(rows + junk)).collect()}
+    assert got == {k: k < 300 for k in got} and len(got) == 106
+    assert all(r.kept and r.distance2 is None for r in quality_rules(docs_of([(1, text()), (2, text("##"))])).collect())
+
+
+def test_chi_square():
+    # fixed values: quantiles of the chi-square distribution from tables
+    for p, k, q in ((0.95, 1, 3.841), (0.75, 5, 6.626), (0.975, 5, 12.833), (0.99, 7, 18.475)):
+        assert rules_of.chi_square_quantile(p, k) == pytest.approx(q, abs=1e-3)
+
+
 @pytest.mark.parametrize("name", ["op2_mixing", "op6_url_filter", "op8_quality_rules"])
 def test_no_python_in_the_plan(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
