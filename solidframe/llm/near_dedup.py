@@ -17,8 +17,16 @@ Jaccard similarity of at least ``threshold`` are linked; a component is what lin
 5. Every cluster is searched on full sets: exact Jaccard, breadth first.
 6. Links are joined into components.
 
-Gathered lists and clusters of more than ``list_part`` or ``cluster_part`` documents are cut into parts, and
-each two parts searched together: no partner is capped, and no task holds more than two parts.
+A gathered list or cluster of up to ``list_part`` or ``cluster_part`` documents is one task's work. A larger one is
+first compared with one leader, part by part: what is close to the leader is tied to it, and needs no comparison
+among itself. The others are then compared with all, each part of the list with each part of the others, so the
+work grows with the list for lists of copies. A list with many others (documents that share little but the value)
+is split before: its documents are gathered by a second value in longer lists. No partner is capped, and no task
+holds more than two parts.
+
+With ``exact`` candidates come from an exact prefix filter over whole sets instead of steps 2 to 4: two linked sets
+share one of their rarest values, as many as a link may miss and one more. Its lists aren't bounded, so it is for
+corpora without frequent shingles, and for checking what sketches may miss.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing; texts with fewer words than
 a shingle are one shingle; a null doc_id can't be linked by others and has a null component unless its set
@@ -77,12 +85,9 @@ def _signatures(shingle: int, sketch: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _each_set(batches, shingle):
             prints = [_fingerprint(x) for x in sets]
-            columns = [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64())]
-            names = ["doc_id", "n", "f1", "f2"]
-            if sketch:
-                columns.append(pa.array([x[:sketch].view(np.int64) for x in sets], pa.list_(pa.int64())))
-                names.append("sketch")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            kept = pa.array([x[:sketch].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            columns = [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), kept]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "sketch"])
 
     return sign
 
@@ -190,26 +195,70 @@ def _links(data: str, enough):
     return link
 
 
-def _parts(members: DataFrame, most: int) -> DataFrame:
-    """(grp, rep) for each (key, rep): groups of up to ``most`` members are one task's work, of larger ones each two parts."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
-    parts = placed.select("key", "rep", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    return parts.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "rep")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_rows: int = 50, list_part: int = 4096, cluster_part: int = 1024, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
-
-    Links join sets with 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id
-    of the component, ``kept`` is true for that document. ``broadcast_rows`` bounds a broadcast of the ids
-    of documents that have candidates; with more of them they are joined by a shuffle.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = texts.mapInArrow(_signatures(shingle, SKETCH), "doc_id long, n long, f1 long, f2 long, sketch array<long>")
-    reps = materialize(signed.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")))
-    known = reps.filter("rep IS NOT NULL")
+def _star(data: str, enough):
+    """Edges between the leader of a list and those of one part of it that are close ``enough``."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
+    def star(table: pa.Table) -> pa.Table:
+        key, lead = table.column("key")[0].as_py(), table.column("lead").to_numpy()
+        reps = table.column("rep").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) if isinstance(x, bytes) else np.array(x, np.uint64) for x in table.column(data).to_pylist()]
+        first = int(np.flatnonzero(lead)[0])
+        common = np.array([len(np.intersect1d(sets[first], x, assume_unique=True)) for x in sets])
+        sizes = np.array([len(x) for x in sets])
+        near = np.flatnonzero((reps != reps[first]) & (common > 0) & enough(common, sizes[first], sizes))
+        return pa.table([np.full(len(near), key), np.full(len(near), reps[first]), reps[near]], schema=schema)
+
+    return star
+
+
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """(grp, rep) for each (key, rep, other): each part of a list with each part of its ``other`` members; lists without any are left out."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("o")).filter("n > 1 AND o > 0")
+    parts = lambda n: F.when(F.col("n") > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
+    placed = members.join(sizes.select("key", parts("n").alias("p"), parts("o").alias("q")), "key").withColumn("h", F.xxhash64("rep", "key"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_ = placed.select("key", "rep", F.pmod("h", F.col("p")).cast("int").alias("i"), every("q").alias("j"))
+    others = placed.filter("other AND p > 1").select("key", "rep", every("p").alias("i"), F.pmod("h", F.col("q")).cast("int").alias("j"))
+    return all_.unionByName(others).select(F.xxhash64("key", "i", "j").alias("grp"), "rep")
+
+
+def _searched(members: DataFrame, sets: DataFrame, data: str, most: int, enough, split=None) -> DataFrame:
+    """Edges (a, b) that reach all of each component of the members (key, rep) of each list that are close ``enough`` by their
+    ``sets`` (rep, data). ``split`` gathers the members of a large list with many others by a second key."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("leader")).filter("n > 1")
+    placed = materialize(members.join(sizes, "key"))
+    found = placed.filter(F.col("n") <= most).select(F.col("key").alias("grp"), "rep")
+    large = placed.filter(F.col("n") > most).withColumn("p", F.ceil(F.col("n") / most).cast("int"))
+    ties = None
+    if not large.isEmpty():
+        part = large.select("key", "rep", F.pmod(F.xxhash64("rep", "key"), F.col("p")).cast("int").alias("i"), F.lit(False).alias("lead"))
+        leaders = large.filter("rep = leader").select("key", "rep", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.lit(True).alias("lead"))
+        star = part.unionByName(leaders).join(sets, "rep").groupBy("key", "i").applyInArrow(_star(data, enough), "key long, a long, b long")
+        ties = materialize(star)
+        near = ties.select("key", F.col("b").alias("rep"), F.lit(False).alias("other"))
+        flagged = large.join(near, ["key", "rep"], "left").select("key", "rep", "leader", F.coalesce("other", F.col("rep") != F.col("leader")).alias("other"))
+        if split is not None:
+            many = materialize(flagged.groupBy("key").agg(F.count_if("other").alias("o")).filter(F.col("o") > most).select("key"))
+            found = found.unionByName(_dealt(split(flagged.join(many, "key", "left_semi")), most))
+            flagged = flagged.join(many, "key", "left_anti")
+        found = found.unionByName(_dealt(flagged, most))
+    edges = found.join(sets, "rep").groupBy("grp").applyInArrow(_links(data, enough), "a long, b long")
+    return edges if ties is None else edges.unionByName(ties.select("a", "b"))
+
+
+def _prefix_pairs(whole: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that share one of their rarest values, as many as a link of at least ``percent`` may miss and one more."""
+    values = materialize(whole.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("v")))
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = values.join(counts, "v").groupBy("rep", "m").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("s"))
+    first = ranked.select("rep", F.explode(F.slice("s", F.lit(1), (F.col("m") - F.ceil(F.col("m") * percent / 100) + 1).cast("int"))).alias("x")).select("rep", "x.v")
+    left, right = first.select("v", F.col("rep").alias("a")), first.select("v", F.col("rep").alias("b"))
+    return left.join(right, "v").filter("a < b").select("a", "b").distinct()
+
+
+def _sketch_pairs(known: DataFrame, percent: int, list_rows: int, list_part: int) -> DataFrame:
+    """Ties (a, b) of representatives (rep, sketch) whose sketches do not speak against a link."""
     entries = known.select("rep", F.size("sketch").alias("m"), F.posexplode("sketch").alias("rank", "v"))
     counts = entries.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(entries.join(counts, "v"))
@@ -227,20 +276,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_r
     )
     longs = long_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("values"), F.first("m").alias("m"))
     crowded = longs.filter(F.size("values") * SKETCH > LONG_VALUES * F.col("m"))
-    gathered = crowded.select(F.explode(F.slice("values", 1, GATHER)["v"]).alias("key"), "rep")
-    tied = _parts(gathered, list_part).join(sketches, "rep").groupBy("grp").applyInArrow(_links("sketch", _close(percent)), "a long, b long")
+    crowded = materialize(crowded.select("rep", F.col("values.v").alias("values")))
+    gathered = crowded.select(F.explode(F.slice("values", 1, GATHER)).alias("key"), "rep")
+
+    def split(members: DataFrame) -> DataFrame:
+        others = F.slice(F.array_remove("values", F.col("key")), 1, GATHER)
+        return members.join(crowded, "rep").select("key", "rep", "other", F.explode(others).alias("second")).select(F.xxhash64("key", "second").alias("key"), "rep", "other")
+
+    return estimated.unionByName(_searched(gathered, sketches, "sketch", list_part, _close(percent), split))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, list_rows: int = 50, list_part: int = 4096, cluster_part: int = 1024, broadcast_rows: int = 1 << 20, exact: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+
+    Links join sets with 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id
+    of the component, ``kept`` is true for that document. ``broadcast_rows`` bounds a broadcast of the ids
+    of documents that have candidates; with more of them they are joined by a shuffle.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = materialize(texts.mapInArrow(_signatures(shingle, (1 << 31) if exact else SKETCH), "doc_id long, n long, f1 long, f2 long, sketch array<long>"))
+    reps = materialize(signed.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")))
+    known = reps.filter("rep IS NOT NULL")
 
-    clusters = connected_components(estimated.unionByName(tied)).select(F.xxhash64("component").alias("key"), F.col("node").alias("rep"))
-    groups = materialize(_parts(clusters, cluster_part))
-    wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
+    pairs = _prefix_pairs(known, percent) if exact else _sketch_pairs(known, percent, list_rows, list_part)
+    clusters = materialize(connected_components(pairs).select(F.xxhash64("component").alias("key"), F.col("node").alias("rep")))
+    wanted = clusters.select(F.col("rep").alias("doc_id"))
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "rep long, own binary")
     linked = lambda common, one, other: 100 * common >= percent * (one + other - common)
-    links = groups.join(sets, "rep").groupBy("grp").applyInArrow(_links("own", linked), "a long, b long")
-    found = connected_components(links)
+    found = connected_components(_searched(clusters, sets, "own", cluster_part, linked))
 
     classes = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    plain = texts.mapInArrow(_signatures(shingle, 0), "doc_id long, n long, f1 long, f2 long")
-    out = plain.join(classes, ["f1", "f2"], "left")
+    out = signed.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

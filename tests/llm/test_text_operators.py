@@ -174,7 +174,7 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("shingle", "limits"), [(2, {}), (5, {}), (2, {"list_rows": 2, "list_part": 7, "cluster_part": 5, "broadcast_rows": 3})])
+@pytest.mark.parametrize(("shingle", "limits"), [(2, {}), (5, {}), (2, {"list_rows": 2, "list_part": 7, "cluster_part": 5, "broadcast_rows": 3}), (5, {"list_rows": 1, "list_part": 2, "cluster_part": 2}), (2, {"exact": True})])
 def test_near_duplicates(docs_of, texts, shingle, limits):
     import random
 
