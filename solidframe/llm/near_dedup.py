@@ -20,8 +20,9 @@ Jaccard similarity of at least ``threshold`` are linked; a component is what lin
 A gathered list or cluster of up to ``list_part`` or ``cluster_part`` documents is one task's work. A larger one is
 first compared with one leader, part by part: what is close to the leader is tied to it, and needs no comparison
 among itself. The others are then compared with all, each part of the list with each part of the others, so the
-work grows with the list for lists of copies. A list with many others (documents that share little but the value)
-is split before: its documents are gathered by a second value in longer lists. No partner is capped, and no task
+work grows with the list for lists of copies. A list of more than ``GATHER`` parts of others (documents that share
+little but the value) is split before: its documents are gathered by second values in longer lists, which makes
+``GATHER`` rows of each instead of one for each part. No partner is capped, and no task
 holds more than two parts.
 
 With ``exact`` candidates come from an exact prefix filter over whole sets instead of steps 2 to 4: two linked sets
@@ -213,14 +214,19 @@ def _star(data: str, enough):
 
 
 def _dealt(members: DataFrame, most: int) -> DataFrame:
-    """(grp, rep) for each (key, rep, other): each part of a list with each part of its ``other`` members; lists without any are left out."""
+    """(grp, rep) for each (key, rep, other): each part of a list with each part of its ``other`` members, or where that makes
+    fewer rows each two parts of the list; lists without other members are left out."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("o")).filter("n > 1 AND o > 0")
     parts = lambda n: F.when(F.col("n") > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
-    placed = members.join(sizes.select("key", parts("n").alias("p"), parts("o").alias("q")), "key").withColumn("h", F.xxhash64("rep", "key"))
+    sizes = sizes.select("key", "n", "o", parts("n").alias("p"), parts("o").alias("q"))
+    sizes = sizes.withColumn("q", F.when(F.col("n") * F.col("q") + F.col("o") * F.col("p") < F.col("n") * F.col("p"), F.col("q")))
+    placed = members.join(sizes, "key").withColumn("h", F.xxhash64("rep", "key")).withColumn("i", F.pmod("h", F.col("p")).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    all_ = placed.select("key", "rep", F.pmod("h", F.col("p")).cast("int").alias("i"), every("q").alias("j"))
-    others = placed.filter("other AND p > 1").select("key", "rep", every("p").alias("i"), F.pmod("h", F.col("q")).cast("int").alias("j"))
-    return all_.unionByName(others).select(F.xxhash64("key", "i", "j").alias("grp"), "rep")
+    both = placed.filter("q IS NULL").select("key", "rep", "i", every("p").alias("j")).select("key", "rep", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    some = placed.filter("q IS NOT NULL").withColumn("j", F.pmod("h", F.col("q")).cast("int"))
+    all_ = some.select("key", "rep", "i", every("q").alias("j"))
+    others = some.filter("other").select("key", "rep", every("p").alias("i"), "j")
+    return both.unionByName(all_).unionByName(others).select(F.xxhash64("key", "i", "j").alias("grp"), "rep")
 
 
 def _searched(members: DataFrame, sets: DataFrame, data: str, most: int, enough, split=None) -> DataFrame:
@@ -239,7 +245,7 @@ def _searched(members: DataFrame, sets: DataFrame, data: str, most: int, enough,
         near = ties.select("key", F.col("b").alias("rep"), F.lit(False).alias("other"))
         flagged = large.join(near, ["key", "rep"], "left").select("key", "rep", "leader", F.coalesce("other", F.col("rep") != F.col("leader")).alias("other"))
         if split is not None:
-            many = materialize(flagged.groupBy("key").agg(F.count_if("other").alias("o")).filter(F.col("o") > most).select("key"))
+            many = materialize(flagged.groupBy("key").agg(F.count_if("other").alias("o")).filter(F.col("o") > GATHER * most).select("key"))
             found = found.unionByName(_dealt(split(flagged.join(many, "key", "left_semi")), most))
             flagged = flagged.join(many, "key", "left_anti")
         found = found.unionByName(_dealt(flagged, most))
