@@ -20,7 +20,7 @@ class Archives:
 
     def __init__(self, archives: DataFrame, mode: str = "PERMISSIVE", password: str | None = None):
         self.archives, self.mode, self._password = archives, mode, password
-        self.catalog = materialize(A.catalog(archives, mode))
+        self.catalog = A.catalog(archives, mode, password=password)
         self.summary, self.blocks = A.archives_view(self.catalog), A.blocks_view(self.catalog)
         self.entries = A.entries_view(self.catalog, self.blocks)
 
@@ -53,11 +53,12 @@ class Archives:
             return FATAL
         return OK if self.verify().filter("error IS NOT NULL").isEmpty() else WARNING
 
-    def extract(self, folder: str, *patterns: str) -> None:
+    def extract(self, folder: str, *patterns: str, mode: str = "overwrite") -> tuple[int, int]:
+        """Writes folders, files and symbolic links below ``folder``; how many, and how many that were there stayed (``mode``)."""
         chosen = self.content(*patterns)
         if patterns and chosen.isEmpty():
             raise ArchiveError("EntryNotFound", ", ".join(patterns))
-        pack.extract(materialize(chosen), folder)
+        return pack.extract(materialize(chosen), folder, selection.by_pattern(self.entries, list(patterns)), mode)
 
     def updated(self, added: DataFrame | None = None, deleted: list[str] | None = None, **options) -> DataFrame:
         """(archive, content) of the archives with entries added or replaced by name, and others deleted by pattern. Blocks

@@ -5,13 +5,15 @@ padding is appended first: the encryption of no data, with the last ciphertext b
 ``aes_encrypt`` prefixes the vector and appends such a block; both are cut off.
 
 Passwords are read from an environment variable or file by the caller and passed as values; they appear in no
-plan string, for keys are derived on the driver for the few (cycles, salt) pairs of a job and joined as data.
+plan string: keys are derived in tasks, one for each distinct (cycles, salt), and joined as data.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,6 @@ from ..sources.coders import ArchiveError
 AES = "06F10701"
 #: Rounds are two to this power at most; the special value takes salt and password as the key itself.
 MAX_CYCLES, RAW_KEY = 24, 0x3F
-#: Salts of a job whose keys are derived on the driver at most.
-MAX_SALTS = 10_000
 
 
 def derive_key(password: str, cycles: int, salt: bytes) -> bytes:
@@ -71,20 +71,36 @@ def encrypt(data: Column, key: Column, iv: Column) -> Column:
     return F.substr(F.aes_encrypt(whole, key, F.lit("CBC"), F.lit("DEFAULT"), iv), F.lit(17), F.octet_length(whole))
 
 
-def keys(blocks: DataFrame, password: str) -> DataFrame:
-    """(properties, key, iv) for the encryption properties that occur in ``blocks``."""
-    used = blocks.select(F.explode("coders").alias("c")).filter(F.col("c.method_id") == AES).select("c.properties").distinct()
-    rows = used.limit(MAX_SALTS + 1).collect()
-    if len(rows) > MAX_SALTS:
-        raise ArchiveError("ResourceLimitExceeded", f"more than {MAX_SALTS} salts")
-    known: dict[tuple[int, bytes], bytes] = {}
-    out = []
-    for r in rows:
-        cycles, salt, iv = parse_properties(bytes(r["properties"] or b""))
-        if (cycles, salt) not in known:
-            known[cycles, salt] = derive_key(password, cycles, salt)
-        out.append((bytearray(r["properties"]), bytearray(known[cycles, salt]), bytearray(iv)))
-    return blocks.sparkSession.createDataFrame(out, "properties binary, key binary, iv binary")
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("properties", pa.binary()), ("cycles", pa.int32()), ("salt", pa.binary()), ("iv", pa.binary())])
+    for batch in batches:
+        rows = []
+        for props in batch.column("properties").to_pylist():
+            try:
+                cycles, salt, iv = parse_properties(props or b"")
+            except ArchiveError:  # without a key its blocks are rows with an error
+                continue
+            if cycles <= MAX_CYCLES or cycles == RAW_KEY:
+                rows.append({"properties": props, "cycles": cycles, "salt": salt, "iv": iv})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _derived(password: str):
+    schema = pa.schema([("cycles", pa.int32()), ("salt", pa.binary()), ("key", pa.binary())])
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cycles, salt in zip(batch.column("cycles").to_pylist(), batch.column("salt").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([{"cycles": cycles, "salt": salt, "key": derive_key(password, cycles, salt)}], schema)
+
+    return derive
+
+
+def keys(used: DataFrame, password: str) -> DataFrame:
+    """(properties, key, iv) for the encryption ``properties`` in ``used``; those that can't be read are left out."""
+    parsed = used.select("properties").distinct().mapInArrow(_parsed, "properties binary, cycles int, salt binary, iv binary")
+    derived = parsed.select("cycles", "salt").distinct().repartition("cycles", "salt").mapInArrow(_derived(password), "cycles int, salt binary, key binary")
+    return parsed.join(derived, ["cycles", "salt"]).select("properties", "key", "iv")
 
 
 def decrypted(packed: DataFrame, blocks: DataFrame, password: str) -> DataFrame:
@@ -94,7 +110,8 @@ def decrypted(packed: DataFrame, blocks: DataFrame, password: str) -> DataFrame:
     place = F.get(F.filter(F.sequence(F.lit(0), F.size("coders") - 1), lambda k: ~F.array_contains(fed, k.cast("long"))), F.lit(0))
     at = packed.withColumn("_at", place)
     at = at.withColumn("_props", F.when(F.get("coders", F.col("_at"))["method_id"] == AES, F.get("coders", F.col("_at"))["properties"]))
-    joined = at.join(F.broadcast(keys(blocks, password)), F.col("_props") == F.col("properties"), "left")
+    used = blocks.select(F.explode("coders").alias("c")).filter(F.col("c.method_id") == AES).select("c.properties")
+    joined = at.join(keys(used, password), F.col("_props") == F.col("properties"), "left")
     plain = F.when(F.col("key").isNotNull(), decrypt(F.col("bytes"), F.col("key"), F.col("iv"), F.get("coder_sizes", F.col("_at")))).otherwise(F.col("bytes"))
     copy = lambda c, k: F.when(F.col("key").isNotNull() & (k == F.col("_at")), c.withField("method_id", F.lit("00"))).otherwise(c)
     return joined.withColumns({"bytes": plain, "coders": F.transform("coders", copy)}).select(packed.columns)

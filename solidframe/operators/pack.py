@@ -12,11 +12,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
-from ..sources.coders import ArchiveError, encode_block
+from ..sources.coders import LEVELS, ArchiveError, encode_block
 from ..sources.container import build_header, encoded_header, signature_header
 from ..sources.tables import materialize
 from .solid import assign_folders
@@ -67,29 +67,51 @@ def _folder_of(row: dict) -> dict:
     return row | {"coders": coders, "binds": binds, "packed_sizes": row["packed_sizes"] or [len(row["packed"])]}
 
 
-def _assemble(header_mode: str):
-    schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+_BUILT = pa.schema([("archive", pa.string()), ("body", pa.binary()), ("header", pa.binary()), ("size", pa.int64()), ("crc", pa.int64()), ("coders", pa.string())])
+
+
+def _build(header_mode: str):
+    """Packed blocks in order and the header, packed too (with its size and coders) or plain."""
 
-    def assemble(key: tuple[pa.Scalar], files: pa.Table, blocks: pa.Table) -> pa.Table:
+    def build(key: tuple[pa.Scalar], files: pa.Table, blocks: pa.Table) -> pa.Table:
         rows = [r for r in files.sort_by("entry_index").to_pylist() if r["entry_index"] is not None]
         folders = [_folder_of(r) for r in blocks.sort_by("folder").to_pylist()]
         plain = build_header(folders, rows) if rows or folders else b""
-        body = b"".join(f["packed"] for f in folders)
-        if plain and (header_mode == "encoded" or header_mode == "auto" and len(rows) > 1):
+        row = {"archive": key[0].as_py(), "body": b"".join(f["packed"] for f in folders), "header": plain, "size": len(plain), "crc": zlib.crc32(plain), "coders": None}
+        if plain and (header_mode in ("encoded", "encrypted") or header_mode == "auto" and len(rows) > 1):
             packed, coders = encode_block(plain, "lzma")
-            header = encoded_header(plain, packed, len(body), coders[0])
-            body += packed
-        else:
-            header = plain
-        return pa.table([[key[0].as_py()], [signature_header(len(body), header) + body + header]], schema=schema)
+            row |= {"header": packed, "coders": _coders_text(coders)}
+        return pa.Table.from_pylist([row], _BUILT)
 
-    return assemble
+    return build
 
 
-def assemble(files: DataFrame, blocks: DataFrame, header_mode: str = "auto") -> DataFrame:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+            body, header = row["body"], row["header"]
+            if row["coders"] is not None:
+                coders = _coders_of(row["coders"])
+                sizes = [row["size"]] + [row["packed_size"]] * (len(coders) - 1)
+                header = encoded_header(row["size"], row["crc"], len(row["header"]), len(body), coders, sizes)
+                body += row["header"]
+            yield pa.RecordBatch.from_pylist([{"archive": row["archive"], "content": signature_header(len(body), header) + body + header}], schema)
+
+
+def assemble(files: DataFrame, blocks: DataFrame, header_mode: str = "auto", password: str | None = None, cycles: int = 19) -> DataFrame:
     """(archive, content) from entries (a null entry_index stands for an archive without any) and packed blocks in the
-    order of ``folder``, which is the order of their entries."""
-    return files.groupBy("archive").cogroup(blocks.groupBy("archive")).applyInArrow(_assemble(header_mode), "archive string, content binary")
+    order of ``folder``, which is the order of their entries. Written once: it is dear to make, and what is read from it needs no
+    plan of how it was made."""
+    built = files.groupBy("archive").cogroup(blocks.groupBy("archive")).applyInArrow(_build(header_mode), "archive string, body binary, header binary, size bigint, crc bigint, coders string")
+    built = built.withColumn("packed_size", F.octet_length("header").cast("long"))
+    if header_mode == "encrypted":
+        sealed, head = _sealed(built, password, cycles)
+        again = F.col("coders").isNotNull()
+        header = F.when(again, crypto.encrypt(F.col("header"), F.col("key"), F.col("iv"))).otherwise(F.col("header"))
+        built = sealed.select("archive", "body", header.alias("header"), "size", "crc", F.concat("coders", head).alias("coders"), "packed_size")
+    return materialize(built.mapInArrow(_finish, "archive string, content binary"))
 
 
 def encode_blocks(data: DataFrame, codec: str = "lzma2", level: int = 5, bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
@@ -98,32 +120,49 @@ def encode_blocks(data: DataFrame, codec: str = "lzma2", level: int = 5, bcj: bo
     return blocks if password is None else _encrypted(blocks, password, cycles)
 
 
-def _encrypted(blocks: DataFrame, password: str, cycles: int) -> DataFrame:
-    """Blocks with an encryption around their coders."""
+def _sealed(rows: DataFrame, password: str, cycles: int) -> tuple[DataFrame, Column]:
+    """``rows`` with a key and a random initialisation vector, and the text of the encryption's coder: one random salt for all."""
     salt = os.urandom(16)
-    key = blocks.sparkSession.createDataFrame([(bytearray(crypto.derive_key(password, cycles, salt)),)], "key binary")
+    key = rows.sparkSession.createDataFrame([(bytearray(crypto.derive_key(password, cycles, salt)),)], "key binary")
     head = crypto.properties(cycles, salt, bytes(16))[:-16].hex()
     # written once: the vector is random, and a task that ran again would take another
-    once = materialize(blocks.withColumn("iv", F.unhex(F.substring(F.sha2(F.concat_ws(":", F.uuid(), F.col("archive"), F.col("folder").cast("string")), 256), 1, 32))))
-    sealed = once.crossJoin(F.broadcast(key))  # one row
-    text = F.concat("coders", F.lit(f";{crypto.AES}:{head}"), F.lower(F.hex("iv")))
+    once = materialize(rows.withColumn("iv", F.unhex(F.substring(F.sha2(F.concat_ws(":", F.uuid(), F.col("archive")), 256), 1, 32))))
+    return once.crossJoin(F.broadcast(key)), F.concat(F.lit(f";{crypto.AES}:{head}"), F.lower(F.hex("iv")))  # one row
+
+
+def _encrypted(blocks: DataFrame, password: str, cycles: int) -> DataFrame:
+    """Blocks with an encryption around their coders."""
+    sealed, head = _sealed(blocks, password, cycles)
     sizes = F.concat("coder_sizes", F.array(F.octet_length("packed").cast("long")))
-    return sealed.select("archive", "folder", crypto.encrypt(F.col("packed"), F.col("key"), F.col("iv")).alias("packed"), text.alias("coders"), sizes.alias("coder_sizes"), *_BLOCK.names[5:])
+    return sealed.select("archive", "folder", crypto.encrypt(F.col("packed"), F.col("key"), F.col("iv")).alias("packed"), F.concat("coders", head).alias("coders"), sizes.alias("coder_sizes"), *_BLOCK.names[5:])
 
 
-def check_options(codec: str, header_mode: str, bcj: bool = False) -> None:
+def check_options(codec: str, header_mode: str, bcj: bool = False, password: str | None = None, level: int = 5) -> None:
     if codec not in CODECS:
         raise ArchiveError("UnsupportedCodec", codec)
-    if header_mode not in ("auto", "plain", "encoded"):
+    if header_mode not in ("auto", "plain", "encoded", "encrypted"):
         raise ArchiveError("InvalidOptions", f"header mode {header_mode}")
+    if header_mode == "encrypted" and not password:
+        raise ArchiveError("InvalidOptions", "an encrypted header needs a password")
     if bcj and codec != "lzma2":
         raise ArchiveError("InvalidOptions", "the x86 filter goes with LZMA2 only")
+    if codec in ("lzma", "lzma2") and level not in LEVELS or not 1 <= level <= 9:
+        raise ArchiveError("InvalidOptions", f"level {level}")
+
 
+#: Bytes of a block where no limit is named: what one task encodes, and what is decoded to read one entry of it.
+BLOCK_BYTES = 64 << 20
 
-def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "solid", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
+
+def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "limit", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
     """(archive, content): one archive per value of ``archive``, each up to the 2 GB that a binary value holds.
-    With ``password`` blocks are encrypted (headers are not): one random salt for the job, a random vector each block."""
-    check_options(codec, header_mode, bcj)
+
+    Blocks hold up to ``max_files`` entries or ``max_bytes``, of neither is named ``BLOCK_BYTES``; ``solid="solid"`` makes one block
+    of an archive. With ``password`` blocks are encrypted, with ``header_mode="encrypted"`` headers too: one random
+    salt for the job, a random vector for each block and header."""
+    check_options(codec, header_mode, bcj, password, level)
+    if solid == "limit" and max_files is None and max_bytes is None:
+        max_bytes = BLOCK_BYTES
     has = entries.columns
     ticks = F.col("mtime_ticks").cast("decimal(20,0)") if "mtime_ticks" in has else F.lit(None).cast("decimal(20,0)")
     attributes = F.col("attributes").cast("long") if "attributes" in has else F.lit(None).cast("long")
@@ -138,7 +177,7 @@ def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, soli
     files = named.select(
         "archive", "entry_index", "raw_name", (~F.col("has_stream")).alias("empty_stream"), (F.col("entry_type") == "File").alias("empty_file"), (F.col("entry_type") == "Anti").alias("anti"), F.col("mtime_ticks").cast("long").alias("mtime"), "attributes",
     )
-    return assemble(files, blocks, header_mode)
+    return assemble(files, blocks, header_mode, password, cycles)
 
 
 def volumes(archives: DataFrame, sizes: list[int]) -> DataFrame:
@@ -162,32 +201,73 @@ def volume_ranges(totals: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.select("archive", "volume", first.alias("first"), F.greatest(F.lit(0), F.least(size, F.col("total") - first)).cast("long").alias("size"))
 
 
-def write_files(rows: DataFrame, folder: str, name: str = "archive", data: str = "content") -> None:
+WRITE_MODES = ("overwrite", "ignore", "error")
+
+
+def _inside(folder: str, path: str) -> str:
+    """The place of a relative path below ``folder``; links that lead out of it are an error."""
+    target = os.path.join(folder, path)
+    root = os.path.realpath(folder)
+    if os.path.commonpath([root, os.path.realpath(os.path.dirname(target))]) != root:
+        raise ArchiveError("UnsafePath", path)
+    return target
+
+
+def _place(folder: str, path: str, kind: str, content: bytes, mode: str) -> bool:
+    """Makes one folder, file or link; whether it did (what is there stays with ``ignore``)."""
+    import tempfile
+
+    target = _inside(folder, path)
+    if kind == "Directory":
+        os.makedirs(target, exist_ok=True)
+        return True
+    if os.path.lexists(target) and mode != "overwrite":
+        if mode == "error":
+            raise ArchiveError("Exists", path)
+        return False
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    if kind == "Symlink":
+        text = content.decode()
+        if os.path.isabs(text) or not os.path.realpath(os.path.join(os.path.dirname(target), text)).startswith(os.path.realpath(folder) + os.sep):
+            raise ArchiveError("UnsafePath", f"{path} -> {text}")
+        temporary = tempfile.mktemp(dir=os.path.dirname(target))
+        os.symlink(text, temporary)
+    else:
+        handle, temporary = tempfile.mkstemp(dir=os.path.dirname(target))
+        with os.fdopen(handle, "wb") as f:
+            f.write(content)
+    os.replace(temporary, target)
+    return True
+
+
+def write_files(rows: DataFrame, folder: str, name: str = "archive", data: str = "content", mode: str = "overwrite", kind: str | None = None) -> tuple[int, int]:
     """Writes each row's bytes to ``folder/name`` from its task, by a temporary file that is renamed: readers see
-    whole files only. ``folder`` must be mounted on every executor."""
+    whole files only. ``folder`` must be mounted on every executor. ``mode`` tells what happens to a file that is there:
+    it is replaced (``overwrite``), stays (``ignore``) or fails the job (``error``). The column ``kind`` tells folders and
+    links (``Directory``, ``Symlink``) from files. Returns how many were written, and how many stayed."""
+    if mode not in WRITE_MODES:
+        raise ArchiveError("InvalidOptions", f"mode {mode}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
-
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                target = os.path.join(folder, path)
-                if os.path.commonpath([os.path.realpath(folder), os.path.realpath(os.path.dirname(target))]) != os.path.realpath(folder):
-                    raise ArchiveError("UnsafePath", path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                handle, temporary = tempfile.mkstemp(dir=os.path.dirname(target))
-                with os.fdopen(handle, "wb") as f:
-                    f.write(content.as_py() or b"")
-                os.replace(temporary, target)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    rows.select(F.col(name).cast("string"), data).mapInArrow(write, "n bigint").agg(F.sum("n")).first()
-
-
-def extract(content: DataFrame, folder: str) -> None:
-    """Writes files of ``content`` (of ``content_view``) below ``folder`` by their safe paths; unsafe ones and errors fail first."""
-    files = content.filter(F.col("entry_type").isin("File", "EmptyFile"))
-    bad = files.filter("safe_path IS NULL OR error IS NOT NULL").select("path", "error").limit(1).collect()
+            done = [_place(folder, path, what, content.as_py() or b"", mode) for path, content, what in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(done)], pa.int64()), pa.array([len(done) - sum(done)], pa.int64())], ["n", "stayed"])
+
+    what = F.col(kind) if kind else F.lit("File")
+    row = rows.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data"), what.alias("kind")).mapInArrow(write, "n bigint, stayed bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("stayed"), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def extract(content: DataFrame, folder: str, directories: DataFrame | None = None, mode: str = "overwrite") -> tuple[int, int]:
+    """Writes ``content`` (of ``content_view``) below ``folder`` by safe paths: ``directories`` (entries) first, then files, then
+    symbolic links, so that nothing is written through a link. Unsafe paths and errors fail before anything is written, links
+    that lead out of the folder when they are met. Returns how many were written, and how many stayed by ``mode``."""
+    bad = content.filter("safe_path IS NULL OR error IS NOT NULL").select("path", "error").limit(1).collect()
     if bad:
         raise ArchiveError(bad[0]["error"]["code"] if bad[0]["error"] else "UnsafePath", bad[0]["path"])
-    write_files(files, folder, "safe_path", "content")
+    if directories is not None:
+        folders = directories.filter("entry_type = 'Directory' AND safe_path IS NOT NULL")
+        write_files(folders.select("safe_path", F.lit(b"").alias("content"), "entry_type"), folder, "safe_path", "content", kind="entry_type")
+    files = write_files(content.filter(F.col("entry_type").isin("File", "EmptyFile")), folder, "safe_path", "content", mode)
+    links = write_files(content.filter("entry_type = 'Symlink'"), folder, "safe_path", "content", mode, "entry_type")
+    return files[0] + links[0], files[1] + links[1]

@@ -90,7 +90,7 @@ def _raw_blocks(archives: DataFrame, blocks: DataFrame, places: DataFrame) -> Da
 
 
 def rewrite(
-    archives: DataFrame, entries: DataFrame, blocks: DataFrame, decoded: DataFrame, added: DataFrame | None = None, deleted: list[str] | None = None, codec: str = "lzma2", level: int = 5, solid: str = "solid",
+    archives: DataFrame, entries: DataFrame, blocks: DataFrame, decoded: DataFrame, added: DataFrame | None = None, deleted: list[str] | None = None, codec: str = "lzma2", level: int = 5, solid: str = "limit",
     max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19,
 ) -> DataFrame:
     """(archive, content) of the archives that ``entries`` and ``blocks`` (views) describe, with ``added`` entries (archive,
@@ -99,7 +99,9 @@ def rewrite(
     Unchanged blocks are copied raw; an error in a block that must be decoded is raised before anything is written.
     An archive that loses all entries stays, empty.
     """
-    pack.check_options(codec, header_mode, bcj)
+    pack.check_options(codec, header_mode, bcj, password, level)
+    if solid == "limit" and max_files is None and max_bytes is None:
+        max_bytes = pack.BLOCK_BYTES
     kept = block_actions(retained(entries, added, deleted)).filter("retained")
     old = kept.select(
         "archive", F.lit(0).alias("part"), "entry_index", F.coalesce("raw_name", F.encode("path", "UTF-16LE")).alias("raw_name"), F.regexp_replace("entry_type", "^Empty", "").alias("entry_type"), *(F.col(f"{x}_ticks").cast("decimal(20,0)").cast("long").alias(x) for x in _TIMES), "attributes",
@@ -137,4 +139,4 @@ def rewrite(
         "archive", F.col("place").alias("entry_index"), "raw_name", (~F.col("has_stream")).alias("empty_stream"), (F.col("entry_type") == "File").alias("empty_file"), (F.col("entry_type") == "Anti").alias("anti"), *_TIMES, "attributes"
     )
     emptied = entries.select("archive").distinct().join(files.select("archive").distinct(), "archive", "left_anti")
-    return pack.assemble(files.unionByName(emptied, allowMissingColumns=True), packed, header_mode)
+    return pack.assemble(files.unionByName(emptied, allowMissingColumns=True), packed, header_mode, password, cycles)

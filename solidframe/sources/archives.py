@@ -3,7 +3,8 @@
 Archives come as rows (archive, content): from ``read_archives`` (any store that Spark reads), from
 ``join_volumes``, or built by ``operators.pack``. One pass over them turns headers into nested rows
 (``catalog``); every view is a DataFrame over these: offsets are window sums, the entry that owns a stream is
-found by a join of ordinals, types by expressions. Content is decoded block by block: a task holds one block,
+found by a join of ordinals, types by expressions. Encrypted headers are opened first, by Spark's AES over the packed
+headers as a column. Content is decoded block by block: a task holds one block,
 a block of a solid archive is decoded once, and its entries are cut out and checked by built-in functions.
 
 An archive that can't be read gives one row in ``archives`` with an error and none elsewhere; a block that
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import crypto
 from ..functions.crypto import decrypted
 from .coders import ArchiveError, decode_folder
-from .container import SIGNATURE_SIZE, parse_archive
+from .container import AES, SIGNATURE_SIZE, outer_header, parse_archive
+from .tables import materialize
 
 _CODER = pa.struct([("method_id", pa.string()), ("num_in", pa.int64()), ("num_out", pa.int64()), ("properties", pa.binary())])
 _FOLDER = pa.struct(
@@ -39,7 +42,7 @@ _CATALOG = pa.schema(
     [
         ("archive", pa.string()), ("physical_size", pa.int64()), ("base_offset", pa.int64()), ("major_version", pa.int16()), ("minor_version", pa.int16()), ("next_header_offset", pa.int64()),
         ("next_header_size", pa.int64()), ("header_mode", pa.string()), ("pack_pos", pa.int64()), ("pack_total", pa.int64()), ("folders", pa.list_(_FOLDER)), ("files", pa.list_(_FILE)),
-        ("empty_file", pa.list_(pa.bool_())), ("anti", pa.list_(pa.bool_())), ("error", pa.struct([("code", pa.string()), ("detail", pa.string())])),
+        ("empty_file", pa.list_(pa.bool_())), ("anti", pa.list_(pa.bool_())), ("header_coders", pa.list_(_CODER)), ("error", pa.struct([("code", pa.string()), ("detail", pa.string())])),
     ]
 )
 
@@ -69,8 +72,13 @@ def join_volumes(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.[0-9][0-9][0-9]").option("recursiveFileLookup", "true").load(path)
     parts = parts.select(F.regexp_replace("path", r"[.]\d{3}$", "").alias("archive"), F.regexp_extract("path", r"[.](\d{3})$", 1).cast("int").alias("n"), "content")
     kept = parts.withColumn("place", F.row_number().over(Window.partitionBy("archive").orderBy("n"))).filter(F.col("n") == F.col("place"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("n", F.hex("content").alias("h")))), lambda x: x["h"])
-    return kept.groupBy("archive").agg(F.unhex(F.array_join(whole, "")).alias("content"))
+    return kept.select("archive", "n", "content").groupBy("archive").applyInArrow(_joined, "archive string, content binary")
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """The volumes of one set, put together in order."""
+    parts = table.sort_by("n").column("content")
+    return pa.table({"archive": table.column("archive").slice(0, 1), "content": [b"".join(x.as_py() for x in parts)]}, pa.schema([("archive", pa.string()), ("content", pa.binary())]))
 
 
 def _parse(scan: int, failfast: bool):
@@ -78,13 +86,14 @@ def _parse(scan: int, failfast: bool):
         for batch in batches:
             for k in range(batch.num_rows):
                 name, data = batch.column("archive")[k].as_py(), batch.column("content")[k].as_py()
+                sealed = batch.column("sealed")[k].as_py() if "sealed" in batch.schema.names else None
                 row = dict.fromkeys(_CATALOG.names) | {"archive": name, "physical_size": None if data is None else len(data)}
                 try:
-                    row |= parse_archive(data or b"", scan)
+                    row |= parse_archive(data or b"", scan, sealed)
                 except ArchiveError as e:
                     if failfast:
                         raise
-                    row["error"] = {"code": e.code, "detail": e.detail}
+                    row |= getattr(e, "outer", {}) | {"error": {"code": e.code, "detail": e.detail}}
                 for f in row["files"] or ():
                     f |= {x: f[x] if f[x] is None else pa.scalar(f[x], pa.decimal128(20, 0)).as_py() for x in ("ctime", "atime", "mtime", "start_pos")}
                 yield pa.RecordBatch.from_pylist([row], _CATALOG)
@@ -92,9 +101,40 @@ def _parse(scan: int, failfast: bool):
     return parse
 
 
-def catalog(archives: DataFrame, mode: str = "PERMISSIVE", max_scan: int = 1 << 20) -> DataFrame:
-    """Headers of ``archives`` (archive, content), one nested row each; write it once to use several views."""
-    return archives.select("archive", "content").mapInArrow(_parse(max_scan, mode == "FAILFAST"), _schema(_CATALOG))
+_SEALED = pa.schema([("archive", pa.string()), ("properties", pa.binary()), ("size", pa.int64()), ("bytes", pa.binary())])
+
+
+def _sealed(scan: int):
+    def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    _, _, folder = outer_header(data.as_py() or b"", scan)
+                except ArchiveError:  # the catalog tells it
+                    continue
+                fed = {b["input"] for b in folder["bind_pairs"]} if folder else ()
+                for k, c in enumerate(folder["coders"] if folder else ()):
+                    if c["method_id"] == AES and k not in fed:
+                        yield pa.RecordBatch.from_pylist([{"archive": name, "properties": c["properties"] or b"", "size": folder["coder_sizes"][k], "bytes": folder["bytes"]}], _SEALED)
+
+    return sealed
+
+
+def opened_headers(archives: DataFrame, password: str, max_scan: int = 1 << 20) -> DataFrame:
+    """(archive, sealed) of archives with an encrypted header: its bytes with the encryption undone, by Spark's AES."""
+    found = archives.select("archive", "content").mapInArrow(_sealed(max_scan), _schema(_SEALED))
+    opened = found.join(crypto.keys(found, password), "properties")
+    return opened.select("archive", crypto.decrypt(F.col("bytes"), F.col("key"), F.col("iv"), F.col("size")).alias("sealed"))
+
+
+def catalog(archives: DataFrame, mode: str = "PERMISSIVE", max_scan: int = 1 << 20, password: str | None = None) -> DataFrame:
+    """Headers of ``archives`` (archive, content), one nested row each, written once: views read it several times, and
+    their plans don't hold how the archives came about. An encrypted header needs ``password``; without it there is an
+    error, with what stands outside."""
+    rows = archives.select("archive", "content")
+    if password is not None:
+        rows = rows.join(opened_headers(archives, password, max_scan), "archive", "left")
+    return materialize(rows.mapInArrow(_parse(max_scan, mode == "FAILFAST"), _schema(_CATALOG)))
 
 
 # ---- views -------------------------------------------------------------------------------------
@@ -107,7 +147,8 @@ def archives_view(cat: DataFrame) -> DataFrame:
         "archive", F.lit("7z").alias("archive_type"), "physical_size", "base_offset", "major_version", "minor_version", "next_header_offset", "next_header_size", "header_mode",
         F.when(F.col("physical_size") >= F.col("pack_total"), F.col("physical_size") - F.col("pack_total")).alias("headers_size"),
         C.crypto_last(F.array_distinct(F.transform(coders, C.archive_method_text))).alias("methods"),
-        F.exists("folders", lambda f: f["num_substreams"] > 1).alias("solid"), F.when(F.col("error").isNull(), F.size("folders")).alias("blocks"), F.when(F.col("error").isNull(), F.size("files").cast("long")).alias("num_files"), "error",
+        F.exists("folders", lambda f: f["num_substreams"] > 1).alias("solid"), F.when(F.col("error").isNull(), F.size("folders")).alias("blocks"), F.when(F.col("error").isNull(), F.size("files").cast("long")).alias("num_files"),
+        C.crypto_last(F.transform("header_coders", C.archive_method_text)).alias("header_methods"), C.is_encrypted(F.col("header_coders")).alias("header_encrypted"), "error",
     )
 
 

@@ -206,8 +206,21 @@ def find_signature(data: bytes, limit: int) -> int:
     raise ArchiveError("Crc" if damaged else "Parse", "no valid signature header")
 
 
-def parse_archive(data: bytes, scan: int = 1 << 20) -> dict:
-    """Everything the headers of one archive say, as nested rows."""
+#: Fixed value: the method id of encryption.
+AES = "06F10701"
+
+
+def _encoded(r: Reader, data: bytes, body: int) -> dict:
+    """The one folder that holds a packed header, with its packed bytes."""
+    enc = _streams(r)
+    if len(enc["folders"]) != 1 or len(enc["pack_sizes"]) != 1:
+        raise ArchiveError("Parse", "an encoded header has one stream")
+    start = body + enc["pack_pos"]
+    return enc["folders"][0] | {"bytes": data[start : start + enc["pack_sizes"][0]]}
+
+
+def outer_header(data: bytes, scan: int = 1 << 20) -> tuple[dict, bytes, dict | None]:
+    """What stands outside a packed header: the signature header, the bytes it points to, and the folder they describe."""
     base = find_signature(data, scan)
     major, minor = data[base + 6], data[base + 7]
     offset, size, crc = struct.unpack_from("<QQI", data, base + 12)
@@ -217,21 +230,46 @@ def parse_archive(data: bytes, scan: int = 1 << 20) -> dict:
     raw = data[body + offset : body + offset + size]
     if zlib.crc32(raw) != crc:
         raise ArchiveError("Crc", "header")
-    out = {"base_offset": base, "major_version": major, "minor_version": minor, "next_header_offset": offset, "next_header_size": size, "header_mode": "Empty" if not size else "Plain"}
+    mode = "Empty" if not size else "Encoded" if raw[0] == ENCODED_HEADER else "Plain"
+    out = {"base_offset": base, "major_version": major, "minor_version": minor, "next_header_offset": offset, "next_header_size": size, "header_mode": mode, "header_coders": []}
+    if mode != "Encoded":
+        return out, raw, None
+    folder = _encoded(Reader(raw[1:]), data, body)
+    return out | {"header_coders": folder["coders"]}, raw, folder
+
+
+def _unpacked(folder: dict, sealed: bytes | None) -> bytes:
+    """A header out of its folder; ``sealed`` are the bytes that its encryption gives, which Spark has undone."""
+    coders, data = folder["coders"], folder["bytes"]
+    if any(c["method_id"] == AES for c in coders):
+        if sealed is None:
+            raise ArchiveError("PasswordRequired", "encrypted header")
+        coders, data = [c | {"method_id": "00"} if c["method_id"] == AES else c for c in coders], sealed
+    raw = decode_folder(coders, folder["bind_pairs"], folder["coder_sizes"], data, folder["unpack_size"])
+    if folder["crc"] is not None and zlib.crc32(raw) != folder["crc"]:
+        raise ArchiveError("Crc", "encoded header")
+    return raw
+
+
+def parse_archive(data: bytes, scan: int = 1 << 20, sealed: bytes | None = None) -> dict:
+    """Everything the headers of one archive say, as nested rows; an error tells what stands outside a packed header."""
+    out, raw, folder = outer_header(data, scan)
+    try:
+        if folder is not None:
+            raw = _unpacked(folder, sealed)
+        return out | _inner(raw, data, out["base_offset"] + SIGNATURE_SIZE)
+    except ArchiveError as e:
+        e.outer = out
+        raise
+
+
+def _inner(raw: bytes, data: bytes, body: int) -> dict:
     streams, files, empty_file, anti = _streams(Reader(bytes([END]))), [], [], []
     while raw:
         r = Reader(raw)
         kind = r.byte()
         if kind == ENCODED_HEADER:
-            enc = _streams(r)
-            if len(enc["folders"]) != 1 or len(enc["pack_sizes"]) != 1:
-                raise ArchiveError("Parse", "an encoded header has one stream")
-            out["header_mode"] = "Encoded"
-            start = body + enc["pack_pos"]
-            f = enc["folders"][0]
-            raw = decode_folder(f["coders"], f["bind_pairs"], f["coder_sizes"], data[start : start + enc["pack_sizes"][0]], f["unpack_size"])
-            if f["crc"] is not None and zlib.crc32(raw) != f["crc"]:
-                raise ArchiveError("Crc", "encoded header")
+            raw = _unpacked(_encoded(r, data, body), None)
             continue
         if kind != HEADER:
             raise ArchiveError("Parse", "neither a header nor an encoded one")
@@ -255,7 +293,7 @@ def parse_archive(data: bytes, scan: int = 1 << 20) -> dict:
             raise ArchiveError("Parse", "too few packed streams")
         at += k
         f |= {"num_substreams": n, "sizes": sizes, "crcs": crcs}
-    return out | {"pack_pos": streams["pack_pos"], "pack_total": sum(streams["pack_sizes"]), "folders": streams["folders"], "files": files, "empty_file": empty_file, "anti": anti}
+    return {"pack_pos": streams["pack_pos"], "pack_total": sum(streams["pack_sizes"]), "folders": streams["folders"], "files": files, "empty_file": empty_file, "anti": anti}
 
 
 # ---- writing -----------------------------------------------------------------------------------
@@ -337,11 +375,11 @@ def build_header(folders: list[dict], files: list[dict]) -> bytes:
     return out + bytes([END])
 
 
-def encoded_header(plain: bytes, packed: bytes, pos: int, coder: dict) -> bytes:
-    """The short header that tells where the packed form of the plain one lies."""
-    out = bytes([ENCODED_HEADER]) + _pack_info(pos, [len(packed)])
-    out += bytes([UNPACK_INFO, FOLDER]) + encode_number(1) + b"\x00" + _folder_bytes([coder])
-    return out + bytes([CODER_SIZES]) + encode_number(len(plain)) + bytes([CRC, 1]) + struct.pack("<I", zlib.crc32(plain)) + bytes([END, END])
+def encoded_header(size: int, crc: int, packed_size: int, pos: int, coders: list[dict], coder_sizes: list[int]) -> bytes:
+    """The short header that tells where the packed form of the plain one lies, and by which chain of coders it was packed."""
+    out = bytes([ENCODED_HEADER]) + _pack_info(pos, [packed_size])
+    out += bytes([UNPACK_INFO, FOLDER]) + encode_number(1) + b"\x00" + _folder_bytes(coders)
+    return out + bytes([CODER_SIZES]) + b"".join(map(encode_number, coder_sizes)) + bytes([CRC, 1]) + struct.pack("<I", crc) + bytes([END, END])
 
 
 def signature_header(offset: int, header: bytes) -> bytes:
