@@ -241,6 +241,31 @@ def bitmap_is_set(bitmap: Column | str, index: Column) -> Column:
     return F.coalesce(F.getbit(octet, (7 - index % 8).cast("int")) == 1, F.lit(False))
 
 
+def varint_value(digits: Column | str) -> Column:
+    """The number that starts a hexadecimal text in the format's variable length; the inverse of ``varint``."""
+    digits = _col(digits)
+    first = F.conv(F.substring(digits, 1, 2), 16, 10).cast("int")
+    low = lambda n: F.conv(F.concat(F.lit("0"), *(F.substring(digits, 3 + 2 * k, 2) for k in reversed(range(n)))), 16, -10).cast("long")
+    out = F.when(first < 0x80, first.cast("long"))
+    for n in range(1, 8):
+        high = first.bitwiseAND(0x7F >> n).cast("long")
+        out = out.when(first < 0x100 - (0x80 >> n), F.shiftleft(high, 8 * n).bitwiseOR(low(n)))
+    return out.otherwise(low(8))
+
+
+def bitmap(bits: Column | str) -> Column:
+    """An array of booleans as a binary column, most significant bit first, filled up with zeros."""
+    bits = _col(bits)
+    octets = F.transform(F.sequence(F.lit(0), F.ceil(F.size(bits) / 8).cast("int") - 1), lambda k: F.lpad(F.hex(F.conv(F.rpad(F.array_join(F.transform(F.slice(bits, k * 8 + 1, F.lit(8)), lambda b: F.when(b, "1").otherwise("0")), ""), 8, "0"), 2, 10).cast("int")), 2, "0"))
+    return F.when(F.size(bits) > 0, F.unhex(F.array_join(octets, ""))).otherwise(F.lit(b""))
+
+
+def checked_sum(*values: Column) -> Column:
+    """A sum of unsigned 64-bit numbers; past their range it is an error."""
+    total = sum((v.cast("decimal(38,0)") for v in values), F.lit(0).cast("decimal(38,0)"))
+    return F.when(total >= F.lit(str(2**64)).cast("decimal(38,0)"), F.raise_error(F.lit("Parse: a sum past 64 bits"))).otherwise(total.cast("decimal(20,0)"))
+
+
 def varint(value: Column | str) -> Column:
     """Number in the format's variable length, hexadecimal: leading ones of the first byte count the bytes
     that follow, little-endian; the rest of the first byte holds the highest bits."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
-from ..sources.coders import LEVELS, ArchiveError, encode_block
+from ..sources.coders import LEVELS, ArchiveError, encode_block, known_filter
 from ..sources.container import build_header, encoded_header, signature_header
 from ..sources.tables import materialize
 from .solid import assign_folders
@@ -43,12 +43,12 @@ def _coders_of(text: str) -> list[dict]:
     return [{"method_id": code, "properties": bytes.fromhex(props)} for code, props in (x.split(":") for x in text.split(";"))]
 
 
-def _encode(codec: str, level: int, bcj: bool):
+def _encode(codec: str, level: int, bcj: bool, filter_: str | None):
     def encode(table: pa.Table) -> pa.Table:
         table = table.sort_by("entry_index")
         parts = [x.as_py() for x in table.column("content")]
         data = b"".join(parts)
-        packed, coders = encode_block(data, codec, level, bcj)
+        packed, coders = encode_block(data, codec, level, bcj, filter_)
         row = {
             "archive": table.column("archive")[0].as_py(), "folder": table.column("folder")[0].as_py(), "packed": packed, "coders": _coders_text(coders), "coder_sizes": [len(data)] * len(coders),
             "sizes": [len(x) for x in parts], "crcs": [zlib.crc32(x) for x in parts],
@@ -114,9 +114,9 @@ def assemble(files: DataFrame, blocks: DataFrame, header_mode: str = "auto", pas
     return materialize(built.mapInArrow(_finish, "archive string, content binary"))
 
 
-def encode_blocks(data: DataFrame, codec: str = "lzma2", level: int = 5, bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
+def encode_blocks(data: DataFrame, codec: str = "lzma2", level: int = 5, bcj: bool = False, password: str | None = None, cycles: int = 19, filter_: str | None = None) -> DataFrame:
     """Packed blocks of ``data`` (archive, folder, entry_index, content), each encoded by one task."""
-    blocks = data.groupBy("archive", "folder").applyInArrow(_encode(codec, level, bcj), _BLOCK_DDL)
+    blocks = data.groupBy("archive", "folder").applyInArrow(_encode(codec, level, bcj, filter_), _BLOCK_DDL)
     return blocks if password is None else _encrypted(blocks, password, cycles)
 
 
@@ -154,13 +154,15 @@ def check_options(codec: str, header_mode: str, bcj: bool = False, password: str
 BLOCK_BYTES = 64 << 20
 
 
-def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "limit", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19) -> DataFrame:
+def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, solid: str = "limit", max_files: int | None = None, max_bytes: int | None = None, header_mode: str = "auto", bcj: bool = False, password: str | None = None, cycles: int = 19, filter_: str | None = None) -> DataFrame:
     """(archive, content): one archive per value of ``archive``, each up to the 2 GB that a binary value holds.
 
     Blocks hold up to ``max_files`` entries or ``max_bytes``, of neither is named ``BLOCK_BYTES``; ``solid="solid"`` makes one block
     of an archive. With ``password`` blocks are encrypted, with ``header_mode="encrypted"`` headers too: one random
     salt for the job, a random vector for each block and header."""
     check_options(codec, header_mode, bcj, password, level)
+    if filter_ and not known_filter(filter_):
+        raise ArchiveError("InvalidOptions", f"filter {filter_}")
     if solid == "limit" and max_files is None and max_bytes is None:
         max_bytes = BLOCK_BYTES
     has = entries.columns
@@ -173,7 +175,7 @@ def pack_archives(entries: DataFrame, codec: str = "lzma2", level: int = 5, soli
     )
     planned = assign_folders(named.select("archive", "entry_index", "has_stream", "size"), solid, max_files, max_bytes)
     data = named.filter("has_stream").select("archive", "entry_index", "content").join(planned.select("archive", "entry_index", "folder"), ["archive", "entry_index"])
-    blocks = encode_blocks(data, codec, level, bcj, password, cycles)
+    blocks = encode_blocks(data, codec, level, bcj, password, cycles, filter_)
     files = named.select(
         "archive", "entry_index", "raw_name", (~F.col("has_stream")).alias("empty_stream"), (F.col("entry_type") == "File").alias("empty_file"), (F.col("entry_type") == "Anti").alias("anti"), F.col("mtime_ticks").cast("long").alias("mtime"), "attributes",
     )

@@ -116,6 +116,24 @@ def timeline_report(samples: DataFrame, buckets: int) -> DataFrame:
     return tops.groupBy("bucket").agg(F.sum("n").alias("samples"), F.max_by("function", F.when(F.col("function").isNotNull(), F.struct("n", "function"))).alias("top_function"))
 
 
+def timeline_by_thread(samples: DataFrame, buckets: int, threads: int = 6) -> DataFrame:
+    """Samples of the busiest threads in each bucket: (tid, comm, bucket, samples)."""
+    busy = samples.groupBy("tid", "comm").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tid", "comm").limit(threads).select("tid", "comm")
+    # at most ``threads`` rows
+    return timeline(samples, buckets).join(F.broadcast(busy), ["tid", "comm"], "left_semi").groupBy("tid", "comm", "bucket").agg(F.count(F.lit(1)).alias("samples"))
+
+
+def leaf_categories(samples: DataFrame, categories: list[tuple[str, list[str]]], prefixes: tuple[str, list[str]] | None = None) -> DataFrame:
+    """Samples by the category of the function on top, with their share of all that have one."""
+    return counts(samples.filter(leaf().isNotNull()), category(leaf(), categories, prefixes).alias("category"))
+
+
+def ratios(before: DataFrame, after: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean timings before and after, and how often the later one goes into the earlier."""
+    mean = lambda df, name: df.groupBy(by).agg(F.avg(value).alias(name))
+    return mean(before, "before").join(mean(after, "after"), by).withColumn("ratio", F.try_divide("before", "after"))
+
+
 def phase_diff(primary: DataFrame, other: DataFrame, least: float = 0.1, n: int = 10) -> DataFrame:
     """Functions (function, samples) with a larger share in ``primary`` than in ``other``: the n largest differences."""
     share = lambda df, name: df.crossJoin(F.broadcast(df.agg(F.sum("samples").alias("_t")))).select("function", (F.col("samples") * 100.0 / F.col("_t")).alias(name))

@@ -48,6 +48,20 @@ def footer(entries: DataFrame) -> DataFrame:
     )
 
 
+def listing_lines(entries: DataFrame) -> DataFrame:
+    """(archive, entry_index, line): a listing with columns of fixed width: time, kind, size, packed size, name."""
+    kind = F.when(F.col("entry_type") == "Directory", "D....").otherwise("....A")
+    number = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 12, " ")
+    time = F.rpad(F.coalesce(F.date_format("mtime", "yyyy-MM-dd HH:mm:ss"), F.lit("")), 19, " ")
+    return entries.select("archive", "entry_index", F.concat_ws(" ", time, kind, number("size"), number("packed_size"), F.concat(F.lit(" "), "path")).alias("line"))
+
+
+def scan_total(entries: DataFrame) -> DataFrame:
+    """Entries and bytes of what a scan or listing found, and their share that is packed bytes (null without any)."""
+    total = entries.groupBy("archive").agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.sum("packed_size").alias("packed"))
+    return total.select("archive", "entries", "bytes", F.try_divide("packed", "bytes").alias("ratio"))
+
+
 def technical_listing(entries: DataFrame) -> DataFrame:
     """(archive, entry_index, line_no, line): the ``key = value`` body of a technical listing."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -19,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents of an archive: what keeps archives small however many documents there are.
+PER_ARCHIVE = 2000
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as entries of an archive for each language."""
+    """Documents as entries of archives: of each language one for every ``PER_ARCHIVE`` ids. Ids are numbered before content joins them."""
     docs = table(spark, sf_dir, "documents")
     name = F.coalesce("lang", F.lit("none"))
+    archive = F.concat(name, F.lit("-"), F.floor(F.col("doc_id") / PER_ARCHIVE).cast("string"))
     order = Window.partitionBy("archive").orderBy("doc_id")
-    rows = docs.select(name.alias("archive"), "doc_id", F.concat(name, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("File").alias("entry_type"), F.encode("text", "UTF-8").alias("content"))
-    return rows.withColumn("entry_index", F.row_number().over(order) - 1)
+    placed = docs.select(archive.alias("archive"), "doc_id", F.concat(name, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("File").alias("entry_type")).withColumn("entry_index", F.row_number().over(order) - 1)
+    return placed.join(docs.select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id")
 
 
 def _number(path: str = "path"):
@@ -37,9 +42,8 @@ def _catalog(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, Da
 
 
 def _read(built: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Archives and their catalog, each written once, for views read them several times."""
-    built = materialize(built)
-    return built, materialize(A.catalog(built, mode="FAILFAST"))
+    """Archives and their catalog."""
+    return built, A.catalog(built, mode="FAILFAST")
 
 
 def bytes_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +59,9 @@ def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip_pages_lzma2_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    archive = F.concat(F.lit("p"), (F.col("page_id") % 4).cast("string"))
-    rows = pages.select(archive.alias("archive"), (F.row_number().over(Window.partitionBy(archive).orderBy("page_id")) - 1).alias("entry_index"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("File").alias("entry_type"), F.encode("html", "UTF-8").alias("content"))
+    archive = F.concat(F.lit("p"), F.floor(F.col("page_id") / PER_ARCHIVE).cast("string"))
+    placed = pages.select("page_id", archive.alias("archive"), (F.row_number().over(Window.partitionBy(archive).orderBy("page_id")) - 1).alias("entry_index"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("File").alias("entry_type"))
+    rows = placed.join(pages.select("page_id", F.encode("html", "UTF-8").alias("content")), "page_id")
     built, cat = _read(pack.pack_archives(rows, codec="lzma2", level=1, solid="limit", max_files=20))
     content = A.content_view(A.entries_view(cat), A.decoded_blocks(built, A.blocks_view(cat), "FAILFAST"))
     return content.select(_number().alias("page_id"), F.decode("content", "UTF-8").alias("html"))
@@ -99,13 +104,13 @@ def content_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry_lookup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = A.entries_view(_catalog(spark, sf_dir, codec="copy")[1])
-    names = entries.filter("entry_index % 7 = 0").select("archive", F.when(F.col("entry_index") % 2 == 0, F.col("path")).otherwise(F.regexp_replace("path", "/", "/./")).alias("name"))
+    names = entries.select("archive", F.when(F.col("entry_index") % 2 == 0, F.col("path")).otherwise(F.regexp_replace("path", "/", "/./")).alias("name"))
     return selection.by_name(entries, names)
 
 
 def index_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = A.entries_view(_catalog(spark, sf_dir, codec="copy")[1])
-    chosen = entries.filter("entry_index % 5 = 3").select("archive", "entry_index")
+    chosen = entries.select("archive", "entry_index")
     return selection.by_index(entries, chosen).select("archive", "entry_index", "path")
 
 
@@ -195,7 +200,9 @@ def method_registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.methods(spark).select(C.method_key("name").alias("method_key"), "method_id", C.method_name("method_id").alias("first_name"))
+    """Names as users write them, with the ids they mean; of an id the name that it shows."""
+    written = C.methods(spark).select(F.concat(F.lit(" "), F.upper("name"), F.lit("-_")).alias("name"), "method_id")
+    return written.select(C.method_key("name").alias("method_key"), "method_id", C.method_name("method_id").alias("first_name"))
 
 
 def _types(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
@@ -219,9 +226,9 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as stacks: words of a user's turn from its end, threads by conversation."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""), 1, 12)
+    """Conversations as stacks: the words of every turn, threads by conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
     return turns.select(F.concat(F.lit("conv"), (F.col("conv_id") % 20).cast("string")).alias("comm"), (F.col("conv_id") % 20).alias("tid"), (F.col("conv_id") * 1.0 + F.col("turn") / 16.0).alias("time"), words.alias("stack"))
 
 
@@ -298,8 +305,8 @@ QUERIES = {
 }
 
 _NAMED = """named AS (
-  SELECT coalesce(lang, 'none') AS archive, doc_id, coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, text, strlen(text) AS size,
-         row_number() OVER (PARTITION BY coalesce(lang, 'none') ORDER BY doc_id) - 1 AS entry_index FROM documents
+  SELECT coalesce(lang, 'none') || '-' || (doc_id // 2000) AS archive, doc_id, coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, text, strlen(text) AS size,
+         row_number() OVER (PARTITION BY coalesce(lang, 'none') || '-' || (doc_id // 2000) ORDER BY doc_id) - 1 AS entry_index FROM documents
 )"""
 _ONCE = f"WITH {_NAMED}"
 _TYPES = """types AS (
@@ -308,8 +315,8 @@ _TYPES = """types AS (
   SELECT *, samples * 100.0::DOUBLE / sum(samples) OVER (PARTITION BY late) AS percent FROM types
 )"""
 _SAMPLES = """samples AS (
-  SELECT 'conv' || (conv_id % 20) AS comm, conv_id % 20 AS tid, conv_id * 1.0::DOUBLE + turn / 16.0::DOUBLE AS time, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')[1:12] AS stack
-  FROM conversations WHERE role = 'user'
+  SELECT 'conv' || (conv_id % 20) AS comm, conv_id % 20 AS tid, conv_id * 1.0::DOUBLE + turn / 16.0::DOUBLE AS time, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS stack
+  FROM conversations
 )"""
 _PLAN = "plan AS (SELECT o_custkey % 50 AS archive, o_orderkey AS entry_index, trunc(o_totalprice / 1000)::BIGINT AS size FROM orders)"
 
@@ -322,6 +329,8 @@ def _fold_sql(streaming: bool) -> str:
     ) SELECT archive, entry_index, folder FROM f"""
 
 
+_METHODS = ", ".join(f"('{code}', '{name}', {k})" for k, (code, name, *_) in enumerate(C.METHODS))
+
 ORACLES = {
     "bytes_by_language": "SELECT coalesce(lang, 'none') AS lang, count(*) AS n, sum(strlen(text))::BIGINT AS bytes, max(strlen(text)) AS max_bytes FROM documents GROUP BY 1",
     "roundtrip_documents": "SELECT doc_id, text FROM documents",
@@ -332,8 +341,8 @@ ORACLES = {
     "entry_crcs": "SELECT doc_id, true AS same FROM documents",
     "verify_blocks": f"{_ONCE} SELECT archive, 'CompleteFolders' AS status, ceil(count(*) / 40.0)::BIGINT AS blocks, count(*) AS entries FROM named GROUP BY archive",
     "content_in_chunks": f"{_ONCE} SELECT archive, sum(greatest(1, ceil(size / 1000.0)))::BIGINT AS chunks, sum(size)::BIGINT AS bytes FROM named GROUP BY archive",
-    "entry_lookup_by_name": f"{_ONCE} SELECT archive, CASE WHEN entry_index % 2 = 0 THEN path ELSE replace(path, '/', '/./') END AS name, entry_index FROM named WHERE entry_index % 7 = 0",
-    "index_selection": f"{_ONCE} SELECT archive, entry_index, path FROM named WHERE entry_index % 5 = 3",
+    "entry_lookup_by_name": f"{_ONCE} SELECT archive, CASE WHEN entry_index % 2 = 0 THEN path ELSE replace(path, '/', '/./') END AS name, entry_index FROM named",
+    "index_selection": f"{_ONCE} SELECT archive, entry_index, path FROM named",
     "wildcard_filter": f"{_ONCE} SELECT path FROM named WHERE path LIKE 'e_/1%.txt' OR path LIKE '%9.txt'",
     "safe_path_urls": r"""SELECT page_id, CASE WHEN url = '' OR regexp_matches(url, '^[/\\]') OR regexp_matches(url, '^[A-Za-z]:') OR list_contains(regexp_split_to_array(url, '[/\\]'), '..') THEN NULL
         ELSE array_to_string(list_filter(regexp_split_to_array(url, '[/\\]'), lambda x: x NOT IN ('', '.')), '/') END AS safe_path FROM pages""",
@@ -354,6 +363,7 @@ ORACLES = {
     "update_roundtrip": f"{_ONCE} SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'new ' || text ELSE text END AS text FROM named WHERE doc_id % 13 = 0 OR path NOT LIKE '%5.txt'",
     "update_raw_copy": f"{_ONCE} SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'new ' || text ELSE text END AS text FROM named WHERE doc_id % 13 = 0 OR path NOT LIKE '%5.txt'",
     "method_registry_join": f"{_ONCE} SELECT u.name, u.kind, count(DISTINCT archive) AS n FROM named, (VALUES ('BCJ', 'filter'), ('LZMA2', 'compression')) AS u(name, kind) GROUP BY ALL",
+    "method_lookup": f"SELECT lower(translate(name, '-_ ', '')) AS method_key, id AS method_id, arg_min(name, k) OVER (PARTITION BY id) AS first_name FROM (VALUES {_METHODS}) AS m(id, name, k)",
     "diff_full_outer": f"""WITH {_TYPES}, b AS (SELECT * FROM share WHERE NOT late), a AS (SELECT * FROM share WHERE late)
       SELECT coalesce(b.name, a.name) AS name, coalesce(b.samples, 0) AS before_samples, coalesce(a.samples, 0) AS after_samples, round(coalesce(a.percent, 0) - coalesce(b.percent, 0), 6) AS diff_pct
       FROM b FULL OUTER JOIN a ON a.name = b.name WHERE abs(coalesce(a.percent, 0) - coalesce(b.percent, 0)) >= 0.01""",

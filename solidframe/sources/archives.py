@@ -72,7 +72,12 @@ def join_volumes(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.[0-9][0-9][0-9]").option("recursiveFileLookup", "true").load(path)
     parts = parts.select(F.regexp_replace("path", r"[.]\d{3}$", "").alias("archive"), F.regexp_extract("path", r"[.](\d{3})$", 1).cast("int").alias("n"), "content")
     kept = parts.withColumn("place", F.row_number().over(Window.partitionBy("archive").orderBy("n"))).filter(F.col("n") == F.col("place"))
-    return kept.select("archive", "n", "content").groupBy("archive").applyInArrow(_joined, "archive string, content binary")
+    return join_parts(kept.select("archive", "n", "content"))
+
+
+def join_parts(parts: DataFrame) -> DataFrame:
+    """(archive, content) from the parts (archive, n, content) of each archive, in order."""
+    return parts.select("archive", "n", "content").groupBy("archive").applyInArrow(_joined, "archive string, content binary")
 
 
 def _joined(table: pa.Table) -> pa.Table:

@@ -65,9 +65,7 @@ def _decode(method: str, props: bytes | None, data: bytes, size: int) -> bytes:
             lanes = np.frombuffer(data + bytes(-len(data) % step), np.uint8).reshape(-1, step)
             return np.cumsum(lanes, axis=0, dtype=np.uint8).tobytes()[: len(data)]
         if method in ("020302", "020304"):
-            width = 2 if method == "020302" else 4
-            whole = len(data) // width * width
-            return np.frombuffer(data[:whole], f"u{width}").byteswap().tobytes() + data[whole:]
+            return _swapped(data, 2 if method == "020302" else 4)
     except (zlib.error, OSError, ValueError, EOFError) as e:
         raise ArchiveError("Decompression", str(e)) from e
     raise ArchiveError("UnsupportedCodec", method)
@@ -105,26 +103,57 @@ def decode_folder(coders: list[dict], bind_pairs: list[dict], sizes: list[int],
     return data
 
 
-def encode_block(data: bytes, codec: str, level: int = 5, bcj: bool = False) -> tuple[bytes, list[dict]]:
-    """Packed bytes and coders of a block."""
-    if level not in LEVELS and codec not in ("copy", "deflate", "bzip2", "delta"):
+#: Names of filters by method id, as packing takes them.
+FILTERS = {"bcj": "03030103", "arm": "03030501", "armt": "03030701", "ia64": "03030401", "ppc": "03030205", "sparc": "03030805", "swap2": "020302", "swap4": "020304"}
+
+
+def _swapped(data: bytes, width: int) -> bytes:
+    whole = len(data) // width * width
+    return np.frombuffer(data[:whole], f"u{width}").byteswap().tobytes() + data[whole:]
+
+
+def _filtered(data: bytes, name: str) -> tuple[bytes, dict, list[dict]]:
+    """Data through a filter that stands before any codec, its coder; or, for branch filters, what goes into the codec's own chain."""
+    coder = {"method_id": FILTERS.get(name, "03"), "num_in": 1, "num_out": 1, "properties": None}
+    if name.startswith("delta"):
+        step = int(name[5:] or 1)
+        lanes = np.frombuffer(data + bytes(-len(data) % step), np.uint8).reshape(-1, step)
+        return np.diff(lanes, axis=0, prepend=np.zeros((1, step), np.uint8)).tobytes()[: len(data)], coder | {"properties": bytes([step - 1])}, []
+    if name in ("swap2", "swap4"):
+        return _swapped(data, int(name[4:])), coder, []
+    return data, coder, [{"id": BRANCH[coder["method_id"]]}]
+
+
+def known_filter(name: str) -> bool:
+    return name in FILTERS or name[:5] == "delta" and (not name[5:] or name[5:].isdecimal() and 1 <= int(name[5:]) <= 256)
+
+
+def encode_block(data: bytes, codec: str, level: int = 5, bcj: bool = False, filter_: str | None = None) -> tuple[bytes, list[dict]]:
+    """Packed bytes and coders of a block; a filter (``bcj``, ``delta4``, ``arm``, ...) goes before the codec. Branch filters
+    run inside the encoder of LZMA2."""
+    if level not in LEVELS and codec not in ("copy", "deflate", "bzip2"):
         raise ArchiveError("InvalidOptions", f"level {level}")
     one = lambda code, props=None: {"method_id": code, "num_in": 1, "num_out": 1, "properties": props}
-    if bcj and codec != "lzma2":
-        raise ArchiveError("InvalidOptions", "the x86 filter goes with LZMA2 only")
+    filter_ = "bcj" if bcj else filter_
+    if filter_ and not known_filter(filter_):
+        raise ArchiveError("InvalidOptions", f"filter {filter_}")
+    data, first, branch = _filtered(data, filter_) if filter_ else (data, None, [])
+    before = [first] if first else []
+    if branch and codec != "lzma2":
+        raise ArchiveError("InvalidOptions", "branch filters go with LZMA2 only")
     if codec == "copy":
-        return data, [one("00")]
+        return data, [*before, one("00")]
     if codec == "deflate":
         z = zlib.compressobj(min(level, 9), zlib.DEFLATED, -15)
-        return z.compress(data) + z.flush(), [one("040108")]
+        return z.compress(data) + z.flush(), [*before, one("040108")]
     if codec == "bzip2":
-        return bz2.compress(data, min(max(level, 1), 9)), [one("040202")]
+        return bz2.compress(data, min(max(level, 1), 9)), [*before, one("040202")]
     size, nice = LEVELS.get(level, LEVELS[5])
     if codec == "lzma":
         spec = {"id": lzma.FILTER_LZMA1, "dict_size": size, "lc": 3, "lp": 0, "pb": 2, "nice_len": nice, "mode": lzma.MODE_NORMAL if level >= 5 else lzma.MODE_FAST}
-        return lzma.compress(data, lzma.FORMAT_RAW, filters=[spec]), [one("030101", bytes([3 + 9 * (0 + 5 * 2)]) + struct.pack("<I", size))]
+        return lzma.compress(data, lzma.FORMAT_RAW, filters=[spec]), [*before, one("030101", bytes([3 + 9 * (0 + 5 * 2)]) + struct.pack("<I", size))]
     if codec == "lzma2":
         prop = next(p for p in range(40) if (2 | p & 1) << (p // 2 + 11) >= size)
-        filters = [{"id": lzma.FILTER_X86}] * bcj + [{"id": lzma.FILTER_LZMA2, "dict_size": size, "nice_len": nice, "mode": lzma.MODE_NORMAL if level >= 5 else lzma.MODE_FAST}]
-        return lzma.compress(data, lzma.FORMAT_RAW, filters=filters), [one("03030103")] * bcj + [one("21", bytes([prop]))]
+        filters = [*branch, {"id": lzma.FILTER_LZMA2, "dict_size": size, "nice_len": nice, "mode": lzma.MODE_NORMAL if level >= 5 else lzma.MODE_FAST}]
+        return lzma.compress(data, lzma.FORMAT_RAW, filters=filters), [*before, one("21", bytes([prop]))]
     raise ArchiveError("UnsupportedCodec", codec)
