@@ -17,13 +17,13 @@ Jaccard similarity of at least ``threshold`` are linked; a component is what lin
 5. Every cluster is searched on full sets: exact Jaccard, breadth first.
 6. Links are joined into components.
 
-A gathered list or cluster of up to ``list_part`` or ``cluster_part`` documents is one task's work. A larger one is
-first compared with one leader, part by part: what is close to the leader is tied to it, and needs no comparison
-among itself. The others are then compared with all, each part of the list with each part of the others, so the
-work grows with the list for lists of copies. A list of more than ``GATHER`` parts of others (documents that share
-little but the value) is split before: its documents are gathered by second values in longer lists, which makes
-``GATHER`` rows of each instead of one for each part. No partner is capped, and no task
-holds more than two parts.
+A gathered list or cluster of up to ``list_part`` or ``cluster_part`` documents is one task's work; up to ``PARTS``
+times that it is cut into parts, and each two parts are searched together, which makes up to ``PARTS`` rows of each
+document. A larger one is first compared with one leader, part by part: what is close to the leader is tied to it, and
+needs no comparison among itself. The others are then compared with all, each part of the list with each part of the
+others, so the work grows with the list for lists of copies. A list with more than ``PARTS`` parts of others (documents
+that share little but the value) is split before: its documents are gathered by second values in longer lists, which
+makes ``GATHER`` rows of each. No partner is capped, and no task holds more than two parts.
 
 With ``exact`` candidates come from an exact prefix filter over whole sets instead of steps 2 to 4: two linked sets
 share one of their rarest values, as many as a link may miss and one more. Its lists aren't bounded, so it is for
@@ -55,6 +55,8 @@ LONG_VALUES = 10
 OVERLAP = 5
 #: The first values in longer lists by which a document is gathered; partners share none with probability 0.2^8.
 GATHER = 8
+#: Parts of a list up to which each two are searched together.
+PARTS = 8
 
 
 def _sets(words: np.ndarray, firsts: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -213,20 +215,26 @@ def _star(data: str, enough):
     return star
 
 
-def _dealt(members: DataFrame, most: int) -> DataFrame:
-    """(grp, rep) for each (key, rep, other): each part of a list with each part of its ``other`` members, or where that makes
-    fewer rows each two parts of the list; lists without other members are left out."""
+def _sized(members: DataFrame) -> DataFrame:
+    """``members`` (key, rep, other) with the sizes of their list: n, and o of others; lists without others or of one are left out."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("o")).filter("n > 1 AND o > 0")
+    return members.join(sizes, "key")
+
+
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """(grp, rep) for each (key, rep, other, n, o): each part of a list with each part of its ``other`` members, or where that
+    makes fewer rows each two parts of the list."""
     parts = lambda n: F.when(F.col("n") > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
-    sizes = sizes.select("key", "n", "o", parts("n").alias("p"), parts("o").alias("q"))
-    sizes = sizes.withColumn("q", F.when(F.col("n") * F.col("q") + F.col("o") * F.col("p") < F.col("n") * F.col("p"), F.col("q")))
-    placed = members.join(sizes, "key").withColumn("h", F.xxhash64("rep", "key")).withColumn("i", F.pmod("h", F.col("p")).cast("int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    both = placed.filter("q IS NULL").select("key", "rep", "i", every("p").alias("j")).select("key", "rep", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    some = placed.filter("q IS NOT NULL").withColumn("j", F.pmod("h", F.col("q")).cast("int"))
-    all_ = some.select("key", "rep", "i", every("q").alias("j"))
-    others = some.filter("other").select("key", "rep", every("p").alias("i"), "j")
-    return both.unionByName(all_).unionByName(others).select(F.xxhash64("key", "i", "j").alias("grp"), "rep")
+    placed = members.withColumns({"p": parts("n"), "q": parts("o"), "h": F.xxhash64("rep", "key")})
+    few = F.col("n") * F.col("q") + F.col("o") * F.col("p") < F.col("n") * F.col("p")
+    i, j = F.pmod("h", F.col("p")).cast("int"), F.pmod("h", F.col("q")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda x, y: F.struct(x.alias("i"), y.alias("j"))
+    both = F.transform(every("p"), lambda k: pair(F.least(i, k), F.greatest(i, k)))
+    with_others = F.transform(every("q"), lambda k: pair(i, k))
+    as_other = F.when(F.col("other"), F.transform(every("p"), lambda k: pair(k, j))).otherwise(F.slice(with_others, 1, 0))
+    groups = placed.select("key", "rep", F.explode(F.when(few, F.array_union(with_others, as_other)).otherwise(both)).alias("x"))
+    return groups.select(F.xxhash64("key", "x.i", "x.j").alias("grp"), "rep")
 
 
 def _searched(members: DataFrame, sets: DataFrame, data: str, most: int, enough, split=None) -> DataFrame:
@@ -234,8 +242,8 @@ def _searched(members: DataFrame, sets: DataFrame, data: str, most: int, enough,
     ``sets`` (rep, data). ``split`` gathers the members of a large list with many others by a second key."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("leader")).filter("n > 1")
     placed = materialize(members.join(sizes, "key"))
-    found = placed.filter(F.col("n") <= most).select(F.col("key").alias("grp"), "rep")
-    large = placed.filter(F.col("n") > most).withColumn("p", F.ceil(F.col("n") / most).cast("int"))
+    found = _dealt(placed.filter(F.col("n") <= PARTS * most).select("key", "rep", F.lit(True).alias("other"), "n", F.col("n").alias("o")), most)
+    large = placed.filter(F.col("n") > PARTS * most).withColumn("p", F.ceil(F.col("n") / most).cast("int"))
     ties = None
     if not large.isEmpty():
         part = large.select("key", "rep", F.pmod(F.xxhash64("rep", "key"), F.col("p")).cast("int").alias("i"), F.lit(False).alias("lead"))
@@ -243,12 +251,12 @@ def _searched(members: DataFrame, sets: DataFrame, data: str, most: int, enough,
         star = part.unionByName(leaders).join(sets, "rep").groupBy("key", "i").applyInArrow(_star(data, enough), "key long, a long, b long")
         ties = materialize(star)
         near = ties.select("key", F.col("b").alias("rep"), F.lit(False).alias("other"))
-        flagged = large.join(near, ["key", "rep"], "left").select("key", "rep", "leader", F.coalesce("other", F.col("rep") != F.col("leader")).alias("other"))
+        flagged = large.join(near, ["key", "rep"], "left").select("key", "rep", F.coalesce("other", F.col("rep") != F.col("leader")).alias("other"))
+        sized = materialize(_sized(flagged))
+        many = F.lit(False) if split is None else F.col("o") > PARTS * most
+        found = found.unionByName(_dealt(sized.filter(~many), most))
         if split is not None:
-            many = materialize(flagged.groupBy("key").agg(F.count_if("other").alias("o")).filter(F.col("o") > GATHER * most).select("key"))
-            found = found.unionByName(_dealt(split(flagged.join(many, "key", "left_semi")), most))
-            flagged = flagged.join(many, "key", "left_anti")
-        found = found.unionByName(_dealt(flagged, most))
+            found = found.unionByName(_dealt(_sized(split(sized.filter(many))), most))
     edges = found.join(sets, "rep").groupBy("grp").applyInArrow(_links(data, enough), "a long, b long")
     return edges if ties is None else edges.unionByName(ties.select("a", "b"))
 
