@@ -105,3 +105,82 @@ def test_key_properties():
     assert crypto.derive_key("p", crypto.RAW_KEY, b"s") == (b"sp\0" + bytes(32))[:32]
     with pytest.raises(ArchiveError):
         crypto.derive_key("p", 25, b"")
+
+
+def test_encrypted_headers(spark):
+    rows = spark.createDataFrame([(x, k, f"f{k}", "File", bytes([65 + k]) * 40) for x in "ab" for k in range(3)] + [("c", 0, "d", "Directory", b"")], ROWS)
+    built = pack.pack_archives(rows, codec="lzma2", level=1, password="p", cycles=5, header_mode="encrypted")
+    plain = pack.pack_archives(rows.filter("archive = 'a'").withColumn("archive", F.lit("plain")), codec="copy")
+    both = built.unionByName(plain).cache()
+    shut = {r.archive: r for r in api.Archives(both).summary.collect()}
+    assert all(shut[x].error.code == "PasswordRequired" and shut[x].header_encrypted and shut[x].header_methods[-1] == "7zAES" and shut[x].num_files is None for x in "abc")
+    assert shut["plain"].error is None and not shut["plain"].header_encrypted
+    a = api.Archives(both, password="p")
+    assert a.state() == api.OK and {r.archive: r.num_files for r in a.summary.collect()} == {"a": 3, "b": 3, "c": 1, "plain": 3}
+    assert {(r.archive, r.path): bytes(r.content) for r in a.content().collect()} == {(x, f"f{k}"): bytes([65 + k]) * 40 for x in ("a", "b", "plain") for k in range(3)}
+    wrong = {r.archive: r.error for r in api.Archives(both, password="q").summary.collect()}
+    assert wrong["plain"] is None and all(wrong[x].code in ("Crc", "Decompression", "Parse") for x in "abc")
+    with pytest.raises(ArchiveError, match="InvalidOptions"):
+        pack.pack_archives(rows, header_mode="encrypted")
+    again = api.Archives(a.updated(None, ["f0"], codec="copy", password="p", cycles=5, header_mode="encrypted"), password="p")
+    assert [r.path for r in again.list().filter("archive = 'b'").collect()] == ["f1", "f2"]
+
+
+def test_unreadable_keys_are_rows(spark):
+    folders = [{"coders": [{"method_id": "06F10701", "properties": props}], "coder_sizes": [16], "packed_sizes": [16], "crc": None, "sizes": [16], "crcs": [None]} for props in (b"\xd3\x11short", bytes([30]), b"")]
+    header = build_header(folders, [{"raw_name": x.encode("utf-16-le"), "empty_stream": False} for x in "abc"])
+    body = bytes(48)
+    a = api.Archives(spark.createDataFrame([("x", signature_header(len(body), header) + body + header)], "archive string, content binary"), password="p")
+    assert {r.error.code for r in a.verify().collect()} == {"UnsupportedCodec"} and a.verify().count() == 3
+
+
+def test_extract_folders_links_and_modes(spark, tmp_path):
+    link = 0o120777 << 16
+    rows = [("a", 0, "d", "Directory", None, None), ("a", 1, "d/e", "Directory", None, None), ("a", 2, "d/f", "File", b"one", None), ("a", 3, "d/l", "Symlink", b"f", link), ("a", 4, "z", "File", b"", None)]
+    kinds = ROWS + ", attributes long"
+    a = api.Archives(pack.pack_archives(spark.createDataFrame(rows, kinds), codec="copy"))
+    out = tmp_path / "x"
+    assert a.extract(str(out)) == (3, 0)
+    assert (out / "d/e").is_dir() and (out / "d/l").is_symlink() and (out / "d/l").read_bytes() == b"one" and (out / "z").read_bytes() == b""
+    (out / "d/f").write_bytes(b"own")
+    assert a.extract(str(out), mode="ignore") == (0, 3) and (out / "d/f").read_bytes() == b"own"
+    with pytest.raises(Exception, match="Exists"):
+        a.extract(str(out), mode="error")
+    assert a.extract(str(out)) == (3, 0) and (out / "d/f").read_bytes() == b"one"
+    with pytest.raises(ArchiveError, match="InvalidOptions"):
+        a.extract(str(out), mode="ask")
+    for target in (b"../../etc", b"/etc/passwd"):
+        bad = api.Archives(pack.pack_archives(spark.createDataFrame([("a", 0, "l", "Symlink", target, link)], kinds), codec="copy"))
+        with pytest.raises(Exception, match="UnsafePath"):
+            bad.extract(str(tmp_path / "y"))
+
+
+def test_scan_sees_empty_files_and_folders(spark, tree):
+    (tree / "none").mkdir()
+    (tree / "zero.txt").write_bytes(b"")
+    rows = api.disk_entries(spark, str(tree)).orderBy("entry_index").collect()
+    assert [(r.path, r.entry_type) for r in rows] == [("a.txt", "File"), ("none", "Directory"), ("sub", "Directory"), ("sub/b.txt", "File"), ("sub/deep", "Directory"), ("sub/deep/c.bin", "File"), ("sub.txt", "File"), ("zero.txt", "File")]
+    assert [r.path for r in api.disk_entries(spark, str(tree), pattern="*.bin").orderBy("entry_index").collect()] == ["sub", "sub/deep", "sub/deep/c.bin"]
+
+
+def test_plans_stay_small(spark):
+    """Two updates in a row: the views of the last archives don't hold how the first came about."""
+    rows = spark.createDataFrame([("a", k, f"f{k}", "File", bytes([65 + k]) * 30) for k in range(6)], ROWS)
+    a = api.Archives(pack.pack_archives(rows, codec="copy", max_files=2))
+    for k in range(2):
+        added = spark.createDataFrame([("a", 0, f"new{k}", "File", b"n")], ROWS)
+        a = api.Archives(a.updated(added, [f"f{k}"], codec="copy"))
+    plan = a.content()._jdf.queryExecution().toString()
+    assert len(plan) < 1_000_000 and sorted(r.path for r in a.content().collect()) == ["f2", "f3", "f4", "f5", "new0", "new1"]
+
+
+@pytest.mark.parametrize("name", ["delta1", "delta4", "swap2", "swap4", "bcj", "arm", "armt", "ia64", "ppc", "sparc"])
+def test_filters_round_trip(name):
+    from solidframe.sources.coders import decode_folder, encode_block
+
+    data = bytes((k * 7 + k // 13) & 255 for k in range(4099))
+    packed, coders = encode_block(data, "copy" if name[:4] in ("delt", "swap") else "lzma2", 1, filter_=name)
+    assert decode_folder(coders, [{"input": 0, "output": 1}], [len(data)] * 2, packed, len(data)) == data and len(coders) == 2
+    for wrong in ("delta0", "delta257", "x86"):
+        with pytest.raises(ArchiveError, match="InvalidOptions"):
+            encode_block(data, "lzma2", 1, filter_=wrong)
