@@ -129,9 +129,8 @@ def _groups(stats: DataFrame, min_group: int) -> DataFrame:
     return materialize(named.select("_lang", "_source", pool.alias("pool"), members.alias("pools")))
 
 
-def _bounded(table: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table with few rows per pool: broadcast if it is small, else joined by a shuffle."""
-    return F.broadcast(table) if table.count() <= most else table
+#: Groups up to which tables with a row or two for each are broadcast; larger ones are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def _fit(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
@@ -162,38 +161,40 @@ def _vectors(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(c.alias(f"x{i}") for i, c in enumerate(_features())))
 
 
-def _estimates(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    """The reweighted estimate of each pool."""
+def _estimates(stats: DataFrame, groups: DataFrame, bounded) -> DataFrame:
+    """The reweighted estimate of each pool; ``bounded`` marks a small table of pools to be broadcast."""
     x = [f"x{i}" for i in range(_N)]
     known = stats.filter("NOT base_failed").join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     rows = _vectors(known).select(F.explode("pools").alias("pool"), *x)
     middle = materialize(rows.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"o{i}") for i, c in enumerate(x))))
-    gaps = rows.join(_bounded(middle), "pool")
+    gaps = rows.join(bounded(middle), "pool")
     gap = [F.col(c) - F.col(f"o{i}") for i, c in enumerate(x)]
     spread = materialize(gaps.groupBy("pool").agg(*(F.percentile_approx(F.abs(g), 0.5, 1000).alias(f"a{i}") for i, g in enumerate(gap))))
     plain = sum((g**2 for g in gap), F.lit(0.0))
     scaled = sum((g**2 / ((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) for i, g in enumerate(gap)), F.lit(0.0))
     keys = ["pool", "start"]
-    rows = materialize(gaps.join(_bounded(spread), "pool").select("pool", *x, F.posexplode(F.array(plain, scaled)).alias("start", "d")))
+    rows = materialize(gaps.join(bounded(spread), "pool").select("pool", *x, F.posexplode(F.array(plain, scaled)).alias("start", "d")))
     near, scale, before = rows, consistency(SUBSET), None
     for _ in range(MAX_STEPS):
-        limits = materialize(near.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 1000).alias("limit")))
-        fit = materialize(_fit(near.join(_bounded(limits), keys).filter("d <= limit"), keys, scale))
+        limits = near.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 1000).alias("limit"))
+        fit = materialize(_fit(near.join(bounded(limits), keys).filter("d <= limit"), keys, scale))
         if before is not None:
             last = before.select(*keys, F.col("logdet").alias("_last"))
             if fit.join(last, keys).filter(F.abs(F.col("logdet") - F.col("_last")) > TOLERANCE).isEmpty():
                 break
-        near, before = _distance(rows, _bounded(fit), keys, "d"), fit
+        near, before = _distance(rows, bounded(fit), keys, "d"), fit
     best = fit.groupBy("pool").agg(F.min_by(F.struct(*fit.columns), F.struct("logdet", "start")).alias("f")).select("f.*").drop("start")
-    near = _distance(rows.filter("start = 0").drop("start"), _bounded(materialize(best)), ["pool"], "d")
+    near = _distance(rows.filter("start = 0").drop("start"), bounded(materialize(best)), ["pool"], "d")
     return materialize(_fit(near.filter(F.col("d") <= chi_square_quantile(REWEIGHTED, _N)), ["pool"], consistency(REWEIGHTED)))
 
 
 def robust_outliers(stats: DataFrame, min_group: int = 50) -> DataFrame:
     """``stats`` (of ``text_statistics``, with base_failed) with the squared distance and the verdict ``outlier``."""
-    groups = _bounded(_groups(stats, min_group))
+    groups = _groups(stats, min_group)
+    bounded = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda table: table)
+    groups = bounded(groups)
     named = stats.join(groups.drop("pools"), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    judged = _distance(_vectors(named.select(*stats.columns, "pool")), _bounded(_estimates(stats, groups)), ["pool"], "distance2", "left")
+    judged = _distance(_vectors(named.select(*stats.columns, "pool")), bounded(_estimates(stats, groups, bounded)), ["pool"], "distance2", "left")
     outlier = F.coalesce(F.col("distance2") > chi_square_quantile(1 - REJECTED, _N), F.lit(False))
     return judged.select(*stats.columns, "distance2", outlier.alias("outlier"))
 
