@@ -4,13 +4,14 @@ Statistics of each text are transformed into a vector of five: mean word length,
 share of repeated lines, share of words in repeated windows, share of upper-case A-Z. For each language and
 source the centre and scatter of the vectors are estimated by the minimum covariance determinant (Rousseeuw and
 Van Driessen 1999): from two starts (distances from the median, plain and scaled by the median absolute deviation)
-concentration steps keep the ``SUBSET`` share of documents nearest to the last estimate, until no determinant
-changes by more than ``TOLERANCE``; the start that ends with the smaller determinant is taken and reweighted once.
+concentration steps keep the ``SUBSET`` share of documents nearest to the last estimate, for each start of a group
+until its determinant no longer falls; the estimate with the smallest determinant is taken and reweighted once.
 Both scatters are multiplied by the factors that make them consistent for normal vectors. A document is an outlier
 if its squared Mahalanobis distance exceeds a quantile of the chi-square distribution.
 
 Both starts go through each step together, as rows of one narrow table that is written once; a step is a grouped
-quantile and grouped sums, both pre-aggregated, so a source with a third of all rows costs no more than others.
+quantile and grouped sums, both pre-aggregated, so a source with a third of all rows costs no more than others. A
+start whose determinant has settled takes no part in further steps.
 A language and source with fewer than ``min_group`` documents is judged by the estimate over all documents of its
 language, and where those are too few by the estimate over all. With fewer than ``LEAST`` documents in all there is no
 estimate. Documents that the fixed limits reject take no part in the estimates.
@@ -34,7 +35,11 @@ FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper")
 #: have no symbols or repeats at all. Set by judgement, as differences that say nothing about quality: a third of a
 #: character, one symbol in twenty words, one line in four, one word or letter in twelve.
 FLOORS = (0.35, 0.05, 0.25, 0.08, 0.08)
-SUBSET, TOLERANCE, MAX_STEPS = 0.75, 1e-4, 20
+SUBSET, MAX_STEPS = 0.75, 20
+#: Quantiles of distances err by up to one rank in ``ACCURACY``. For normal vectors a share of the subset that errs by e moves
+#: the log determinant by (9.4 - 5) / 0.75 e (9.4: squared distance at the edge of the subset, by its own scatter; 5: their mean
+#: number of features), so what falls by less than ``TOLERANCE`` has settled as far as the quantile can tell.
+ACCURACY, TOLERANCE = 10_000, 1e-3
 #: Share of normal vectors that count in the reweighted estimate, and share that would be rejected.
 REWEIGHTED, REJECTED = 0.975, 1e-5
 #: Documents that an estimate needs: twice the number of features.
@@ -174,16 +179,20 @@ def _estimates(stats: DataFrame, groups: DataFrame, bounded) -> DataFrame:
     scaled = sum((g**2 / ((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) for i, g in enumerate(gap)), F.lit(0.0))
     keys = ["pool", "start"]
     rows = materialize(gaps.join(bounded(spread), "pool").select("pool", *x, F.posexplode(F.array(plain, scaled)).alias("start", "d")))
-    near, scale, before = rows, consistency(SUBSET), None
+    near, scale, fits, last = rows, consistency(SUBSET), None, None
     for _ in range(MAX_STEPS):
-        limits = near.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 1000).alias("limit"))
-        fit = materialize(_fit(near.join(bounded(limits), keys).filter("d <= limit"), keys, scale))
-        if before is not None:
-            last = before.select(*keys, F.col("logdet").alias("_last"))
-            if fit.join(last, keys).filter(F.abs(F.col("logdet") - F.col("_last")) > TOLERANCE).isEmpty():
-                break
-        near, before = _distance(rows, bounded(fit), keys, "d"), fit
-    best = fit.groupBy("pool").agg(F.min_by(F.struct(*fit.columns), F.struct("logdet", "start")).alias("f")).select("f.*").drop("start")
+        limits = near.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, ACCURACY).alias("limit"))
+        fit = _fit(near.join(bounded(limits), keys).filter("d <= limit"), keys, scale)
+        if last is None:
+            fit = materialize(fit.withColumn("falls", F.lit(True)))
+        else:
+            fit = materialize(fit.join(bounded(last), keys).withColumn("falls", F.col("logdet") < F.col("_last") - TOLERANCE).drop("_last"))
+        fits = fit if fits is None else fits.unionByName(fit)
+        falling = fit.filter("falls")
+        if falling.isEmpty():
+            break
+        near, last = _distance(rows, bounded(falling), keys, "d"), falling.select(*keys, F.col("logdet").alias("_last"))
+    best = fits.groupBy("pool").agg(F.min_by(F.struct(*fits.columns), F.struct("logdet", "start")).alias("f")).select("f.*").drop("start", "falls")
     near = _distance(rows.filter("start = 0").drop("start"), bounded(materialize(best)), ["pool"], "d")
     return materialize(_fit(near.filter(F.col("d") <= chi_square_quantile(REWEIGHTED, _N)), ["pool"], consistency(REWEIGHTED)))
 
